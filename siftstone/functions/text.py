@@ -8,7 +8,7 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -43,7 +43,25 @@ def _fold_class() -> str:
         if following != here + 1:
             spans.append((start, here))
             start = following
-    return "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in spans) + "]"
+    # the look-ahead settles ASCII at once instead of walking the list of ranges
+    return r"(?![\x00-\x7F])[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in spans) + "]"
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, for values that a body uses many times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def evaluate_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns behind a one-row generator, which filters are not pushed through.
+
+    Catalyst copies an alias into every predicate pushed below it; for columns made of regular expressions over long texts that
+    multiplies the work. Use it where such columns are filtered on afterwards.
+    """
+    entry = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select("*", F.explode(F.array(entry)).alias("__once")).select(
+        *[c for c in df.columns if c not in columns], *[F.col("__once")[n].alias(n) for n in columns]
+    )
 
 
 def casefold(col: Column) -> Column:
@@ -52,8 +70,8 @@ def casefold(col: Column) -> Column:
     ``lower`` is enough for nearly every row; only rows that hold one of the special code points are rewritten
     character by character through a literal map.
     """
-    rule = _fold_rule()
-    table = F.create_map(*[F.lit(part) for pair in rule.items() for part in pair])
+    pairs = "\t".join(f"{char}\b{folded}" for char, folded in _fold_rule().items())
+    table = F.str_to_map(F.lit(pairs), F.lit("\t"), F.lit("\b"))
     low = F.lower(col)
     return F.when(
         low.rlike(_fold_class()),
@@ -67,7 +85,15 @@ def squeeze(col: Column) -> Column:
 
 
 def strip(col: Column) -> Column:
-    return F.regexp_replace(col, f"^[{P.SPACE}]+|[{P.SPACE}]+$", "")
+    return F.btrim(col, F.lit(P.SPACE_CHARS))
+
+
+def plain_lower(col: Column) -> Column:
+    """Lower case for matching ASCII word patterns without regard to case.
+
+    The four letters below equal an ASCII letter in a case-insensitive Unicode match although lowering keeps them apart.
+    """
+    return F.lower(F.translate(col, "\u0130\u0131\u017f\u212a", "iisk"))
 
 
 @F.pandas_udf(StringType())
@@ -115,22 +141,23 @@ def main_text(text: Column, title: Column) -> Column:
 
 def derive_title(text: Column, fallback: Column | None = None, max_length: int = 80) -> Column:
     """First non-blank line, trimmed and shortened."""
-    lines = F.filter(
-        F.transform(F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"), strip), lambda s: F.length(s) > 0
-    )
-    first = F.get(lines, F.lit(0))
+    line = F.regexp_extract(text, f"^[{P.SPACE}]*([^{P.LINE_BREAKS}]*)", 1)
+    first = F.nullif(strip(line), F.lit(""))
     return F.coalesce(F.left(first, F.lit(max_length)), fallback if fallback is not None else F.lit(None).cast("string"))
 
 
 def title_key(title: Column) -> Column:
     """Folded, squeezed title; null when too short to identify a post."""
-    key = squeeze(casefold(title))
-    short = (F.length(key) < 24) & (F.size(F.split(key, " ")) < 4)
-    return F.when((F.length(key) > 0) & ~short, key)
+    def long_enough(key: Column) -> Column:
+        short = (F.length(key) < 24) & (F.size(F.split(key, " ")) < 4)
+        return F.when((F.length(key) > 0) & ~short, key)
+
+    return let(squeeze(casefold(title)), long_enough)
 
 
 def author_key(author: Column) -> Column:
-    return F.nullif(casefold(strip(author)), F.lit(""))
+    text = casefold(strip(author))
+    return F.when(F.length(text) > 0, text)
 
 
 def slugify(value: Column) -> Column:
@@ -148,9 +175,8 @@ def query_tokens(query: Column) -> Column:
     """Searchable words of a query: operator tokens out, punctuation and leading '#' off, folded, distinct."""
     punct = "".join("\\" + c for c in P.QUERY_PUNCTUATION)
     operators = F.array(*[F.lit(op) for op in P.QUERY_OPERATORS])
-    words = F.filter(F.split(F.coalesce(query, F.lit("")), f"[{P.SPACE}]+"), lambda w: F.length(w) > 0)
     words = F.filter(
-        words,
+        F.filter(F.split(F.coalesce(query, F.lit("")), f"[{P.SPACE}]+"), lambda w: F.length(w) > 0),
         lambda w: ~(F.contains(w, F.lit(":")) & F.array_contains(operators, F.lower(F.split_part(w, F.lit(":"), F.lit(1))))),
     )
     words = F.transform(
@@ -166,7 +192,7 @@ def near_dup_tokens(text: Column) -> Column:
     stop = F.array(*[F.lit(w) for w in P.STOP_TOKENS])
     clean = F.regexp_replace(casefold(text), P.URL_RE, " ")
     clean = F.regexp_replace(clean, P.MENTION_RE, " ")
-    clean = F.regexp_replace(clean, rf"{P.NOT_AFTER_WORD}#+([{P.WORD}]+)", " $1 ")
+    clean = F.regexp_replace(clean, rf"#(?<![{P.WORD}]#)([{P.WORD}]+)", " $1 ")
     tokens = F.transform(
         F.regexp_extract_all(clean, F.lit(P.NEAR_DUP_TOKEN_RE), F.lit(0)),
         lambda t: F.when(t.rlike(r"^[0-9]+$"), F.lit("0")).otherwise(t),
@@ -176,15 +202,18 @@ def near_dup_tokens(text: Column) -> Column:
 
 def contains_any(haystack: Column, needles: list[str]) -> Column:
     """True when any literal needle is a substring; one OR chain so the scan stops at the first hit."""
-    found = F.lit(False)
-    for needle in needles:
-        found = found | F.contains(haystack, F.lit(needle))
-    return found
+    def search(hay: Column) -> Column:
+        found = F.lit(False)
+        for needle in needles:
+            found = found | F.contains(hay, F.lit(needle))
+        return found
+
+    return let(haystack, search) if needles else F.lit(False)
 
 
 def shared_parts(haystack: Column, tokens: Column) -> Column:
     """Tokens (an array column) that occur in the haystack."""
-    return F.filter(tokens, lambda t: (F.length(t) > 0) & F.contains(haystack, t))
+    return let(haystack, lambda hay: F.filter(tokens, lambda t: (F.length(t) > 0) & F.contains(hay, t)))
 
 
 def reason_list(*pairs: tuple[str, Column]) -> Column:

@@ -69,12 +69,6 @@ def number_or_null(text: Column) -> Column:
     return F.replace(strip(text), F.lit(","), F.lit("")).try_cast("double")
 
 
-def variant_number(variant: Column, path: str) -> Column:
-    """Number at a path; booleans are not numbers, numeric strings are."""
-    value = F.try_variant_get(variant, path, "variant")
-    return F.when(F.schema_of_variant(value) != "BOOLEAN", number_or_null(F.try_variant_get(value, "$", "string")))
-
-
 def normalize_engagement(payload: Column) -> Column:
     """Seven common engagement fields out of an open VARIANT object, with spellings and a ``metrics`` fallback.
 
@@ -83,9 +77,8 @@ def normalize_engagement(payload: Column) -> Column:
     """
 
     def present(prefix: str, names: tuple[str, ...]) -> Column:
-        raw = [F.try_variant_get(payload, f"{prefix}.{n}", "variant") for n in names]
-        first = F.coalesce(*[F.when(~F.is_variant_null(v), v) for v in raw])
-        return F.when(F.schema_of_variant(first) != "BOOLEAN", number_or_null(F.try_variant_get(first, "$", "string")))
+        # read as text: JSON null is absent, and neither booleans nor objects turn into numbers
+        return number_or_null(F.coalesce(*[F.try_variant_get(payload, f"{prefix}.{n}", "string") for n in names]))
 
     pairs = []
     for field, names in ENGAGEMENT_ALIASES.items():

@@ -29,10 +29,8 @@ def fetch_limit(requested: int, profile: str | None) -> int:
 
 def structural_counts(text: Column, urls: Column | None = None) -> dict[str, Column]:
     body = F.coalesce(text, F.lit(""))
-    in_text = F.regexp_count(body, F.lit(P.URL_RE))
-    listed = F.size(F.filter(F.coalesce(urls, F.array().cast("array<string>")), lambda u: F.length(u) > 0)) if (
-        urls is not None
-    ) else F.lit(0)
+    in_text = F.regexp_count(T.plain_lower(body), F.lit(P.URL_RE))
+    listed = F.lit(0) if urls is None else F.coalesce(F.size(F.filter(urls, lambda u: F.length(u) > 0)), F.lit(0))
     return {
         "hashtags": F.regexp_count(body, F.lit(P.HASHTAG_RE)),
         "cashtags": F.regexp_count(body, F.lit(P.CASHTAG_RE)),
@@ -51,12 +49,13 @@ def promo_phrase(text: Column) -> Column:
 
 
 def low_content(text: Column, kind: Column | None = None) -> Column:
-    body = T.squeeze(F.coalesce(text, F.lit("")))
-    thin = F.length(body) <= 12
-    if kind is None:
-        return thin
-    stub = (F.size(F.split(body, " ")) <= 8) & F.endswith(body, F.lit(":"))
-    return thin | (F.coalesce(kind == "quote", F.lit(False)) & stub)
+    quote = F.lit(False) if kind is None else F.coalesce(kind == "quote", F.lit(False))
+
+    def thin(body: Column) -> Column:
+        stub = (F.size(F.split(body, " ")) <= 8) & F.endswith(body, F.lit(":"))
+        return (F.length(body) <= 12) | (quote & stub)
+
+    return T.let(T.squeeze(F.coalesce(text, F.lit(""))), thin)
 
 
 def engagement_gate(engagement: Column, profile: str | None) -> Column:
@@ -122,10 +121,15 @@ def collected_parts() -> list[Column]:
     return [*[F.col(n) for n in names], F.array_join(F.col("urls"), " ")]
 
 
+def folded_parts(parts: list[Column]) -> Column:
+    """Non-empty parts joined by spaces, then folded."""
+    return T.casefold(T.strip(F.concat_ws(" ", *[F.when(F.length(p) > 0, p) for p in parts])))
+
+
 def query_hit(parts: list[Column], tokens: Column) -> Column:
     """Any token is a substring of the folded, space-joined non-empty parts."""
-    hay = T.strip(F.concat_ws(" ", *[F.nullif(T.casefold(p), F.lit("")) for p in parts]))
-    return F.exists(tokens, lambda t: (F.length(t) > 0) & F.contains(hay, t))
+    hay = folded_parts(parts)
+    return T.let(hay, lambda h: F.exists(tokens, lambda t: (F.length(t) > 0) & F.contains(h, t)))
 
 
 class QualityFilter:
@@ -164,7 +168,7 @@ class QualityFilter:
             drop_retweets=drop_retweets,
             drop_replies=drop_replies,
         )
-        judged = posts.withColumn("drop_reasons", reasons)
+        judged = T.evaluate_once(posts, drop_reasons=reasons)
         backfill = (F.size("drop_reasons") == 1) & (F.get("drop_reasons", F.lit(0)) == "engagement_gate")
         judged = judged.withColumn("__class", F.when(F.size("drop_reasons") == 0, 0).when(backfill, 1).otherwise(2))
         self.kept = top_per_group(

@@ -26,9 +26,8 @@ PROMOISH_REASONS = (
 
 
 def concrete_details(text: Column) -> Column:
-    """Number of distinct concrete details (numbers, dates, units, versions)."""
-    found = F.regexp_extract_all(text, F.lit(P.CONCRETE_DETAIL_RE), F.lit(0))
-    return F.size(F.array_distinct(F.transform(found, lambda m: F.translate(F.lower(m), "ſ", "s"))))
+    """Number of distinct concrete details (numbers, dates, units, versions) in lower-case text."""
+    return F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(P.CONCRETE_DETAIL_RE), F.lit(0))))
 
 
 def search_text() -> Column:
@@ -39,7 +38,7 @@ def planner_text() -> Column:
     """Haystack of the query-match filter over candidates."""
     names = ("title", "text", "author", "author_name", "quoted_author_handle", "quoted_author_name", "url")
     parts = [*[F.col(n) for n in names], F.array_join(F.col("urls"), " ")]
-    return T.strip(F.concat_ws(" ", *[F.nullif(T.casefold(p), F.lit("")) for p in parts]))
+    return noise.folded_parts(parts)
 
 
 def with_query_hits(df: DataFrame, tokens: str = "query_tokens") -> DataFrame:
@@ -60,8 +59,8 @@ def with_query_hits(df: DataFrame, tokens: str = "query_tokens") -> DataFrame:
 def with_signals(df: DataFrame) -> DataFrame:
     """Boolean and count signal columns, prefixed ``sig_``."""
     staged = df.withColumn("__body", T.main_text(F.col("text"), F.col("title")))
-    body = F.col("__body")
-    staged = staged.withColumns(
+    body = F.col("__low")
+    staged = T.evaluate_once(staged, __low=T.plain_lower(F.col("__body"))).withColumns(
         {
             "sig_concrete": concrete_details(body),
             "sig_process": body.rlike(P.PROCESS_RE),
@@ -69,7 +68,7 @@ def with_signals(df: DataFrame) -> DataFrame:
             "sig_observable_text": body.rlike(P.OBSERVABLE_RE),
             "sig_comparison": body.rlike(P.COMPARISON_RE),
             "sig_specific": body.rlike(P.SPECIFICITY_RE),
-            "sig_promo": noise.promo_phrase(body) | body.rlike(P.PROMO_RE),
+            "sig_promo": noise.promo_phrase(F.col("__body")) | body.rlike(P.PROMO_RE),
             "sig_commerce": body.rlike(P.COMMERCE_RE),
             "sig_cta": body.rlike(P.CTA_RE),
             "sig_announcement": body.rlike(P.ANNOUNCEMENT_RE),
@@ -92,7 +91,7 @@ def with_signals(df: DataFrame) -> DataFrame:
     total = F.lit(0)
     for flag in support:
         total = total + flag.cast("int")
-    return staged.withColumn("sig_support", total)
+    return staged.withColumn("sig_support", total).drop("__low")
 
 
 def score(df: DataFrame) -> DataFrame:
@@ -114,10 +113,13 @@ def score(df: DataFrame) -> DataFrame:
         },
     )
     df = with_signals(df)
+    signals = [c for c in df.columns if c.startswith("sig_")]
+    df = T.evaluate_once(df, **{c: F.col(c) for c in signals})
     body, kind = F.col("__body"), F.col("sig_kind")
     seen = F.coalesce(F.col("seen_in_count"), F.lit(0))
     tokens, hits = F.coalesce("query_token_count", F.lit(0)), F.coalesce("query_token_hits", F.lit(0))
     engagement, concrete, support = F.col("sig_engagement"), F.col("sig_concrete"), F.col("sig_support")
+    # signals are regular expressions over the whole text, so they are fixed before the points refer to them many times
     promo, commerce, cta, news = (F.col(f"sig_{n}") for n in ("promo", "commerce", "cta", "announcement"))
     fit = F.col("topic_fit")
     bonus = F.coalesce(tf.score_bonus(fit), F.lit(0.0))
@@ -181,11 +183,8 @@ def score(df: DataFrame) -> DataFrame:
         F.when(bonus > 0, fit_reasons).otherwise(F.array().cast("array<string>")),
         T.reason_list(*[(name, cond) for name, cond, _ in tail]),
     )
-    return df.select(
-        *[c for c in keep if c not in ("quality_score", "quality_reasons")],
-        F.round(points, 3).alias("quality_score"),
-        F.array_distinct(reasons).alias("quality_reasons"),
-    )
+    out = T.evaluate_once(df, quality_score=F.round(points, 3), quality_reasons=F.array_distinct(reasons))
+    return out.select(*[c for c in keep if c not in ("quality_score", "quality_reasons")], "quality_score", "quality_reasons")
 
 
 def promoish(reasons: Column) -> Column:

@@ -228,8 +228,8 @@ def build_records(results: DataFrame, run_id: Column | str, created_at: Column |
 
 def escape_separators(text: Column) -> Column:
     """Write the three Unicode line separators as JSON escapes."""
-    for char, escaped in (("\u0085", "\\u0085"), (" ", "\\u2028"), (" ", "\\u2029")):
-        text = F.replace(text, F.lit(char), F.lit(escaped))
+    for point in ("0085", "2028", "2029"):
+        text = F.replace(text, F.lit(chr(int(point, 16))), F.lit("\\u" + point))
     return text
 
 
