@@ -107,8 +107,14 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def _spread(self, name: str, key: str) -> DataFrame:
+        """A table whose files are fewer than the cores is spread by key before heavy row work; larger ones stay as read."""
+        df = getattr(self, name)
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
     def marked(self) -> DataFrame:
-        return self.documents.select("doc_id", "lang", F.col("source").alias("author"), F.expr(f"concat(text, {SUFFIX})").alias("text"))
+        return self._spread("documents", "doc_id").select("doc_id", "lang", F.col("source").alias("author"), F.expr(f"concat(text, {SUFFIX})").alias("text"))
 
     def posts(self) -> DataFrame:
         """Documents as posts, with metrics and time from the event of the same number and the page's URL."""
@@ -146,7 +152,7 @@ class Tables:
     def sightings(self) -> DataFrame:
         """Events as sightings of the document their payload names."""
         k = F.regexp_extract("props", "([0-9]+)", 1).cast("bigint")
-        e = self.events.withColumn("k", k).withColumn("page_id", (F.col("k") + F.col("user_id")) % 50)
+        e = self._spread("events", "event_id").withColumn("k", k).withColumn("page_id", (F.col("k") + F.col("user_id")) % 50)
         docs = self.marked().select(F.col("doc_id").alias("k"), "text")
         rows = e.join(docs, "k", "left").join(self.pages.select("page_id", "url"), "page_id", "left")
         text = lambda prefix, col: F.concat(F.lit(prefix), F.col(col).cast("string"))

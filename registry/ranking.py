@@ -63,10 +63,9 @@ scored AS (SELECT *, round(CASE WHEN seen > 1 THEN least(seen, 5) * 6.0 ELSE 0 E
   CASE WHEN topical AND sup >= 3 THEN 'evidence_dense' END], lambda v: v IS NOT NULL) AS reasons FROM t3)"""
 
 # posts with the query "pricing codex", seen counts, and topic rules
-SRC_SQL = f"""{POSTS_SQL}, {FIT_SQL}, src AS (SELECT * EXCLUDE (bonus), ord % 3 + 1 AS seen, 2 AS tokens,
+SRC_SQL = f"""{POSTS_SQL}, {FIT_SQL}, src AS (SELECT * EXCLUDE (bonus, hits), ord % 3 + 1 AS seen, 2 AS tokens,
   contains({fold("concat(text, ' ', author, ' ', coalesce(url, ''))")}, 'pricing')::INT + contains({fold("concat(text, ' ', author, ' ', coalesce(url, ''))")}, 'codex')::INT AS hits,
-  CASE WHEN matched THEN bonus ELSE 0 END AS bonus, CASE WHEN matched THEN hits ELSE [] END AS fits, true AS strong FROM fit)"""
-SRC_SQL = SRC_SQL.replace("CASE WHEN matched THEN hits ELSE [] END", "CASE WHEN matched THEN fit.hits ELSE [] END")
+  CASE WHEN matched THEN bonus ELSE 0 END AS bonus, CASE WHEN matched THEN fit.hits ELSE [] END AS fits, true AS strong FROM fit)"""
 PLAIN_SQL = f"""{POSTS_SQL}, src AS (SELECT *, ord % 3 + 1 AS seen, 2 AS tokens,
   contains({fold("concat(text, ' ', author, ' ', coalesce(url, ''))")}, 'pricing')::INT + contains({fold("concat(text, ' ', author, ' ', coalesce(url, ''))")}, 'codex')::INT AS hits,
   0.0 AS bonus, CAST([] AS VARCHAR[]) AS fits, false AS strong FROM posts)"""
@@ -216,6 +215,7 @@ m AS (SELECT 0 AS t, 'pricing' AS topic_id, 1 AS min_posts, ord, id FROM h WHERE
  UNION ALL SELECT 2, 'agents', 100000, ord, id FROM h WHERE contains(h, 'codex')),
 rep AS (SELECT t, topic_id, count(*) AS count, min_posts, greatest(min_posts - count(*), 0) AS gap,
   array_to_string((list(id ORDER BY ord))[1:3], ',') AS samples FROM m GROUP BY ALL UNION ALL SELECT 3, 'none', 0, 1, 1, '')"""
+_COV = _COV.replace('FROM m GROUP BY ALL', 'FROM m GROUP BY t, topic_id, min_posts')
 
 
 def _report(t):

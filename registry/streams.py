@@ -1 +1,120 @@
-"""Placeholder."""
+"""Streaming queries: the events table read as a file stream and drained once; each must equal its batch SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from siftstone.functions import text as T
+from siftstone.operators.items import build_items
+from siftstone.streaming import jobs
+
+from . import runs
+from .base import MARKED_SQL, query
+from .filters import NOISE_SQL, PROMO, counts_sql, fold, squeezed
+from .records import lines
+
+
+class Stream:
+    """Same tables as a file stream; what a registered batch view needs of :class:`Tables`."""
+
+    def __init__(self, tables):
+        self._t = tables
+        self.spark, self.folder = tables.spark, tables.folder
+
+    def __getattr__(self, name):
+        if name.startswith("_"):
+            raise AttributeError(name)
+        schema = self.spark.read.parquet(f"{self.folder}/{name}.parquet").schema
+        return self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(self.folder)
+
+    def _spread(self, name, key):
+        return getattr(self, name)
+
+
+@query("stream_seen_counts", """SELECT CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k, count(*) AS seen_in_count FROM events GROUP BY 1""")
+def stream_seen_counts(t):
+    items = Stream(t).events.select(F.regexp_extract("props", "([0-9]+)", 1).cast("bigint").alias("k"))
+    return jobs.run_available(jobs.seen_counts(items, "k"), mode="update", upsert_key=["k"])
+
+
+@query("stream_first_sightings", "SELECT DISTINCT user_id, event_type FROM events")
+def stream_first_sightings(t):
+    items = Stream(t).events.withColumn("key", F.concat_ws("/", F.col("user_id").cast("string"), "event_type"))
+    found = jobs.first_sightings(items, "key", "ts", "60 days").select("user_id", "event_type")
+    return jobs.run_available(found)
+
+
+@query("stream_tumbling_counts", "SELECT strftime(time_bucket(INTERVAL '1 day', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS count FROM events GROUP BY 1, 2")
+def stream_tumbling_counts(t):
+    counts = jobs.window_counts(Stream(t).events, "ts", ["event_type"], "1 day")
+    done = jobs.run_available(counts, mode="update", upsert_key=["window_start", "window_end", "event_type"])
+    return done.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "count")
+
+
+@query("stream_sliding_counts", """WITH s AS (SELECT unnest([0, 15, 30, 45]) AS back) SELECT strftime(time_bucket(INTERVAL '15 minutes', ts) - back * INTERVAL '1 minute', '%Y-%m-%d %H:%M') AS start, count(*) AS count
+FROM events, s GROUP BY 1""")
+def stream_sliding_counts(t):
+    counts = jobs.window_counts(Stream(t).events, "ts", [], "1 hour", "15 minutes")
+    done = jobs.run_available(counts, mode="update", upsert_key=["window_start", "window_end"])
+    return done.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("start"), "count")
+
+
+@query("session_counts", """WITH o AS (SELECT user_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events),
+s AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > INTERVAL '4 hours' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM o)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS count FROM s GROUP BY user_id, n""")
+def session_counts(t):
+    # a streamed session closes only when the watermark passes it; the same expression runs here over the whole table
+    done = jobs.session_counts(t.events, "ts", "user_id", "4 hours")
+    return done.select("user_id", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss").alias("start"), "count")
+
+
+@query("stream_throttle_monitor", """SELECT strftime(time_bucket(INTERVAL '6 hours', ts), '%Y-%m-%d %H:%M') AS start, count(*) AS queries,
+ count(*) FILTER (WHERE event_type = 'error' AND event_id % 2 = 0) AS throttle_errors, count(*) FILTER (WHERE event_type = 'error' AND event_id % 2 = 0) >= 9 AS alert FROM events GROUP BY 1""")
+def stream_throttle_monitor(t):
+    monitor = jobs.throttle_monitor(runs.log(Stream(t)), "finished_at", "6 hours", 9)
+    done = jobs.run_available(monitor, mode="update", upsert_key=["window_start"])
+    return done.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("start"), "queries", "throttle_errors", "alert")
+
+
+@query("stream_author_cap", """WITH n AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events) SELECT event_id, user_id FROM n WHERE k <= 3""")
+def stream_author_cap(t):
+    items = Stream(t).events.select("event_id", "user_id")
+    capped = jobs.rolling_author_cap(items, 3, author="user_id", order="event_id")
+    spark, provider = t.spark, "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return jobs.run_available(capped)
+    finally:
+        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
+
+
+@query("stream_canonical_items", """SELECT CASE WHEN event_id % 2 = 0 THEN 'web' ELSE 'feed' END AS channel,
+ unnest(CASE WHEN event_id % 3 = 0 THEN [concat('a', CAST(event_id AS VARCHAR)), concat('b', CAST(event_id AS VARCHAR))] ELSE [concat('a', CAST(event_id AS VARCHAR))] END) AS id
+FROM events WHERE event_id % 20 > 3 AND event_type <> 'error'""")
+def stream_canonical_items(t):
+    rows = jobs.run_available(jobs.canonical_stream(lines(Stream(t))))
+    return rows.select("channel", F.get_json_object("item", "$.id").alias("id"))
+
+
+@query("stream_scored_items", f"""WITH {MARKED_SQL}, c AS (SELECT doc_id, {counts_sql('text')}, {fold('text')} AS f, {squeezed('text')} AS q FROM marked)
+SELECT doc_id, array_to_string(list_filter([CASE WHEN {NOISE_SQL} THEN 'structural_noise' END, CASE WHEN {PROMO} THEN 'promo_phrase' END,
+ CASE WHEN length(q) <= 12 THEN 'low_content' END], lambda v: v IS NOT NULL), ',') AS drops FROM c""")
+def stream_scored_items(t):
+    from .base import Tables
+
+    stream = Stream(t)
+    marked = Tables.marked(stream)
+    items = build_items(
+        marked.select(
+            "doc_id",
+            F.col("doc_id").cast("string").alias("id"),
+            T.derive_title(F.col("text")).alias("title"),
+            "text",
+            "author",
+            F.array(F.lit("codex")).alias("query_tokens"),
+            F.lit("documents").alias("source"),
+        )
+    )
+    done = jobs.run_available(jobs.scored_stream(items).select("doc_id", "drop_reasons", "quality_score"))
+    return done.select("doc_id", F.array_join("drop_reasons", ",").alias("drops"))

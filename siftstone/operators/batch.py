@@ -46,13 +46,11 @@ def resume_keys(completed: DataFrame, defaulted: str = "defaulted_fields", defau
         return both.select(query_key(both).alias("query_key")).distinct()
     subsets = [list(c) for size in range(len(defaults)) for c in combinations(defaults, size)]
     values = F.col("exclude")
-    variants = F.array(
-        values,
-        *[
-            F.filter(values, lambda v, keep=keep: ~v.isin(*defaults) | (v.isin(*keep) if keep else F.lit(False)))
-            for keep in subsets
-        ],
-    )
+    def without_defaults(keep: list[str]) -> Column:
+        removed = [d for d in defaults if d not in keep]
+        return F.filter(values, lambda v: ~v.isin(*removed))
+
+    variants = F.array(values, *[without_defaults(keep) for keep in subsets])
     can_vary = F.array_contains(fields, "exclude") & values.isNotNull()
     varied = both.withColumn("exclude", F.explode(F.when(can_vary, variants).otherwise(F.array(values))))
     varied = varied.withColumn("exclude", F.when(F.size("exclude") > 0, F.col("exclude")))

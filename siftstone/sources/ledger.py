@@ -86,17 +86,17 @@ def is_result_lenient(value: Column) -> Column:
 def parse(lines: DataFrame) -> DataFrame:
     """Parse each line. ``state`` is empty, invalid_line, not_object, invalid_record or ok; no line is lost."""
     blank = F.length(T.strip(F.col("value"))) == 0
-    parsed = lines.withColumn("rec", F.try_parse_json(F.when(~blank, F.col("value"))))
+    parsed = T.evaluate_once(lines, rec=F.try_parse_json(F.when(~blank, F.col("value"))))
     an_object = F.startswith(F.ltrim("value"), F.lit("{"))
     valid = (_get(F.col("rec"), "record_type") == "collection_result") & is_result(_get(F.col("rec"), "result", "variant"))
-    return parsed.withColumn(
-        "state",
+    state = (
         F.when(blank, F.lit("empty"))
         .when(F.col("rec").isNull(), F.lit("invalid_line"))
         .when(~an_object, F.lit("not_object"))
         .when(F.coalesce(valid, F.lit(False)), F.lit("ok"))
-        .otherwise(F.lit("invalid_record")),
+        .otherwise(F.lit("invalid_record"))
     )
+    return T.evaluate_once(parsed, state=state)
 
 
 def objects(parsed: DataFrame) -> DataFrame:
@@ -118,7 +118,7 @@ def coerce(parsed: DataFrame) -> DataFrame:
     """
     rec = F.col("rec")
     wrapped = F.coalesce(_get(rec, "record_type") == "collection_result", F.lit(False))
-    staged = objects(parsed).withColumn("result", F.when(wrapped, _get(rec, "result", "variant")).otherwise(rec))
+    staged = T.evaluate_once(objects(parsed), result=F.when(wrapped, _get(rec, "result", "variant")).otherwise(rec))
     staged = staged.where(F.coalesce(is_result_lenient(F.col("result")), F.lit(False)))
     result = F.col("result")
 

@@ -51,10 +51,16 @@ def scored_stream(items: DataFrame, rules: tf.TopicRules = tf.TopicRules(), *, a
     return score.score(score.with_query_hits(staged))
 
 
+def _timed(items: DataFrame, time: str, delay: str) -> DataFrame:
+    """Event time as TIMESTAMP, with the watermark when the input is a stream."""
+    rows = items.withColumn(time, F.col(time).cast("timestamp"))
+    return rows.withWatermark(time, delay) if items.isStreaming else rows
+
+
 def first_sightings(items: DataFrame, key: str, time: str, delay: str) -> DataFrame:
     """First arrival per key within the watermark; state is bounded by the delay."""
     if items.isStreaming:
-        return items.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
+        return _timed(items, time, delay).dropDuplicatesWithinWatermark([key])
     return items.dropDuplicates([key])
 
 
@@ -65,14 +71,14 @@ def seen_counts(items: DataFrame, key: str) -> DataFrame:
 
 def window_counts(items: DataFrame, time: str, keys: list[Column | str], size: str, slide: str | None = None, delay: str = "1 day") -> DataFrame:
     """Tumbling or sliding counts per key."""
-    rows = items.withWatermark(time, delay) if items.isStreaming else items
+    rows = _timed(items, time, delay)
     grouped = rows.groupBy(F.window(time, size, slide), *keys).agg(F.count(F.lit(1)).alias("count"))
     return grouped.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *keys, "count")
 
 
 def session_counts(items: DataFrame, time: str, key: str, gap: str, delay: str = "1 day") -> DataFrame:
     """Activity sessions per key."""
-    rows = items.withWatermark(time, delay) if items.isStreaming else items
+    rows = _timed(items, time, delay)
     grouped = rows.groupBy(F.session_window(time, gap).alias("s"), key).agg(F.count(F.lit(1)).alias("count"))
     return grouped.select(F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), key, "count")
 
@@ -80,7 +86,7 @@ def session_counts(items: DataFrame, time: str, key: str, gap: str, delay: str =
 def throttle_monitor(log: DataFrame, time: str, size: str, limit: int, delay: str = "1 day") -> DataFrame:
     """Throttle-sensitive errors per window with an alert flag. Expects error_category, error_code and error_message."""
     hit = (F.col("status") == "error") & throttle_sensitive(F.col("error_category"), F.col("error_code"), F.col("error_message"))
-    rows = log.withWatermark(time, delay) if log.isStreaming else log
+    rows = _timed(log, time, delay)
     grouped = rows.groupBy(F.window(time, size)).agg(F.count_if(hit).alias("throttle_errors"), F.count(F.lit(1)).alias("queries"))
     return grouped.select(
         F.col("window.start").alias("window_start"), "queries", "throttle_errors", (F.col("throttle_errors") >= limit).alias("alert")
