@@ -79,14 +79,7 @@ def stream_throttle_monitor(t):
 @query("stream_author_cap", """WITH n AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events) SELECT event_id, user_id FROM n WHERE k <= 3""")
 def stream_author_cap(t):
     items = Stream(t).events.select("event_id", "user_id")
-    capped = jobs.rolling_author_cap(items, 3, author="user_id", order="event_id")
-    spark, provider = t.spark, "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider, None)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        return jobs.run_available(capped)
-    finally:
-        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
+    return jobs.rolling_author_cap(items, 3, author="user_id", order="event_id")
 
 
 @query("stream_canonical_items", """SELECT CASE WHEN event_id % 2 = 0 THEN 'web' ELSE 'feed' END AS channel,

@@ -7,18 +7,14 @@ DataFrame; :func:`run_available` drains it once through a checkpointed sink.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.values import throttle_sensitive
 from ..operators import noise, score
 from ..operators import topic_fit as tf
-from ..plans.skew import scratch_folder
+from ..plans.skew import scratch_folder, top_per_group
 from ..sources import ledger
 
 
@@ -93,38 +89,33 @@ def throttle_monitor(log: DataFrame, time: str, size: str, limit: int, delay: st
     )
 
 
-class _AuthorCap(StatefulProcessor):
-    """Counts emitted rows per author; state expires with the TTL."""
+def rolling_author_cap(items: DataFrame, cap: int, *, author: str = "author", order: str = "ord") -> DataFrame:
+    """First ``cap`` rows per author over all batches so far, drained into a table.
 
-    def __init__(self, cap: int, order: str, ttl_ms: int | None):
-        self.cap, self.order, self.ttl_ms = cap, order, ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        schema = StructType([StructField("n", LongType())])
-        self.count = handle.getValueState("n", schema, self.ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802,N803
-        used = self.count.get()[0] if self.count.exists() else 0
-        # a batch of one author arrives as Arrow chunks; only the best (cap - used) rows are ever held
-        room, best = self.cap - used, None
-        for chunk in rows:
-            if room <= 0:
-                continue
-            best = chunk if best is None else pd.concat([best, chunk])
-            best = best.nsmallest(room, self.order)
-        if best is not None and len(best):
-            self.count.update((used + len(best),))
-            yield best
-
-    def close(self) -> None:
-        pass
-
-
-def rolling_author_cap(items: DataFrame, cap: int, *, author: str = "author", order: str = "ord", ttl_ms: int | None = None) -> DataFrame:
-    """First ``cap`` rows per author across all batches so far (append mode, keyed state with TTL)."""
-    return items.groupBy(author).transformWithStateInPandas(
-        statefulProcessor=_AuthorCap(cap, order, ttl_ms), outputStructType=items.schema, outputMode="Append", timeMode="ProcessingTime"
-    )
+    Each batch is cut with a map-side group limit before it meets the running counts, so an author who fills a batch costs no
+    more than ``cap`` rows per task. Counts are kept per batch number: a repeated batch starts from the same state and
+    overwrites its own output.
+    """
+    spark = items.sparkSession
+    base = f"{scratch_folder(spark)}/stream-{uuid.uuid4().hex}"
+    kind = items.schema[author].dataType.simpleString()
+
+    def step(batch: DataFrame, number: int) -> None:
+        counts = f"{author} {kind}, used bigint"
+        before = (
+            spark.read.schema(counts).parquet(f"{base}/counts/{number - 1}") if number else spark.createDataFrame([], counts)
+        )
+        heads = top_per_group(batch, [author], [F.col(order)], cap, "__k").join(before, author, "left")
+        room = F.lit(cap) - F.coalesce("used", F.lit(0))
+        heads.where(F.col("__k") <= room).select(*items.columns).write.mode("overwrite").parquet(f"{base}/out/b={number}")
+        kept = spark.read.schema(items.schema).parquet(f"{base}/out/b={number}")
+        added = kept.groupBy(author).agg(F.count(F.lit(1)).alias("used"))
+        after = before.unionByName(added).groupBy(author).agg(F.sum("used").cast("bigint").alias("used"))
+        after.write.mode("overwrite").parquet(f"{base}/counts/{number}")
+
+    writer = items.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
+    writer.foreachBatch(step).start().awaitTermination()
+    return spark.read.schema(items.schema).option("recursiveFileLookup", "true").parquet(f"{base}/out")
 
 
 def run_available(stream: DataFrame, *, mode: str = "append", upsert_key: list[str] | None = None) -> DataFrame:
