@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
-from ..plans.skew import number_within
+from ..plans.skew import lookup, number_within
 from . import score as S
 from .items import ITEM_COLUMNS, SIGHTING_COLUMNS, identifier, preference_rank, with_columns
 
 KEY_MODES = ("url", "normalized_url", "id", "source_item_id", "domain", "author", "post")
 _META = ("intent", "query_id", "source_role")
 _RANKS = 5
+HOT_KEY_ROWS = 10_000_000
 
 
 def dedupe_key(by: str) -> Column:
@@ -158,11 +159,11 @@ class Deduped:
             distinct = urls.groupBy("candidate_key", "url").agg(F.min("ord").alias("ord"))
             joined = distinct.join(first, "candidate_key")
             return joined.where(~F.col("url").eqNullSafe(F.col("__shown"))).drop("__shown")
-        # At most five winners per key split its timeline. A URL's rows within one stretch behave alike, and the earliest
-        # decides, so each distinct (key, url, row rank) is first reduced on the map side to the few ordinals that matter:
-        # the stretches are found from the keys' winner rows, which are joined in after the reduction where possible.
+        # At most five winners per key split its timeline, so the table joined back is small per key. Keys with very many
+        # sightings are few (at most rows / HOT_KEY_ROWS) and are broadcast; the others go through an ordinary join.
         chain = self._grouped.select(
             "candidate_key",
+            "seen_in_count",
             F.array_sort(
                 F.array_compact(
                     F.array(*[F.when(self._winners(r), F.struct(f"__r{r}.ord", f"__r{r}.url")) for r in range(_RANKS)])
@@ -170,7 +171,7 @@ class Deduped:
             ).alias("__chain"),
         )
         narrow = urls.select("candidate_key", "url", "ord")
-        joined = narrow.join(chain, "candidate_key")
+        joined = lookup(narrow, chain, "candidate_key", "seen_in_count", HOT_KEY_ROWS)
         before = F.filter("__chain", lambda w: w["ord"] < F.col("ord"))
         shown = F.element_at(before, -1)["url"]
         return (

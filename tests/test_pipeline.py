@@ -48,7 +48,8 @@ def fold(rows, prefer):
 
 
 @pytest.mark.parametrize("prefer", [False, True])
-def test_dedupe_equals_sequential_fold(spark, prefer):
+def test_dedupe_equals_sequential_fold(spark, prefer, monkeypatch):
+    monkeypatch.setattr(dedupe, "HOT_KEY_ROWS", 50)
     rows = sight_rows(random.Random(5), 400)
     d = dedupe.dedupe(spark.createDataFrame(rows, SIGHT), "id", prefer)
     want = fold(rows, prefer)
