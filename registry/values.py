@@ -113,9 +113,6 @@ def titles(t):
     return d.select("ord", "title", T.title_key(F.col("title")).alias("title_key"), T.slugify(F.col("title")).alias("slug"))
 
 
-_COUNT = "CAST(CAST(floor(value * 100) AS BIGINT) AS {0})"
-
-
 @query(
     "engagement_values",
     """SELECT event_id, CASE event_id % 4 WHEN 3 THEN NULL ELSE floor(value * 100) END AS likes,

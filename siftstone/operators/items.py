@@ -78,11 +78,10 @@ def media_references(entries: Column) -> Column:
         return F.coalesce(*[F.nullif(F.try_variant_get(entry, f"$.{n}", "string"), F.lit("")) for n in names])
 
     def clean(col: Column) -> Column:
-        value = T.html_unescape(T.strip(col)) if unescape else T.strip(col)
+        # entities are left alone here: Arrow stages cannot run inside a lambda, unescape_media() handles exploded rows
+        value = T.strip(col)
         return F.when(value.rlike("^https?://"), value)
 
-    unescape = False  # Arrow stages cannot run inside a lambda; unescape_media() does it on exploded rows
-
     def build(entry: Column) -> Column:
         raw = F.try_variant_get(entry, "$.type", "string")
         return F.struct(
