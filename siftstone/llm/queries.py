@@ -2,10 +2,67 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from siftstone.llm import chat, mixing
 from siftstone.llm.near import near_duplicates
 from siftstone.llm.registry import register, table
+from siftstone.llm.sharding import assign_shards, number_slots, size_of
+from siftstone.llm.topk import exact_top_k, quantised
 
 
 @register("op2_minhash_near_dedup")
 def op2(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+
+
+@register("op3_mixing_raking", mixing.oracle_sql())
+def op3(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    mixed = mixing.mixture(docs)
+    return mixed.select(
+        "doc_id",
+        "source",
+        "lang",
+        mixing.topic_of(F.col("text")).alias("topic"),
+        mixing.tokens_of(F.col("text")).alias("tokens"),
+        F.round("mix_probability", 6).alias("probability"),
+        F.col("mix_kept").alias("kept"),
+    )
+
+
+@register("op10_lpt_sharding")
+def op10(spark, sf_dir):
+    text = F.col("text")
+    placed = assign_shards(table(spark, sf_dir, "documents"), 24).select(
+        "doc_id",
+        size_of(text).alias("size"),
+        F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "shard",
+    )
+    return number_slots(placed).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+@register(
+    "op4_exact_topk_nra",
+    """
+WITH v AS (SELECT vec_id, [CAST(floor(256.0 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS vec FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([q.vec[i] * c.vec[i] FOR i IN range(1, len(q.vec) + 1)]) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.vec) = len(c.vec) WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+""",
+)
+def op4(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", quantised(F.col("embedding")).alias("vec"))
+    return exact_top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)
+
+
+@register("op7_chat_prefix_targets", chat.ORACLE)
+def op7(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    return chat.digests(chat.prefix_examples(turns.unionByName(probe)))
