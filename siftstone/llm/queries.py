@@ -5,12 +5,20 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftstone.llm import chat, mixing
+from siftstone.llm.decontam import contained_items
 from siftstone.llm.near import near_duplicates
+from siftstone.llm.quality import importance_sample
 from siftstone.llm.registry import register, table
 from siftstone.llm.sharding import assign_shards, number_slots, size_of
+from siftstone.llm.substring import remove_repeats
 from siftstone.llm.topk import exact_top_k, quantised
 
 
+@register("op1_benchmark_decontamination")
+def op1(spark, sf_dir):
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @register("op2_minhash_near_dedup")
 def op2(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
@@ -31,6 +39,18 @@ def op3(spark, sf_dir):
     )
 
 
+@register("op8_substring_superkmer")
+def op8(spark, sf_dir):
+    cut = remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@register("op9_quality_importance_resampling")
+def op9(spark, sf_dir):
+    sampled = importance_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"])
+    return sampled.select("doc_id", (F.col("log_weight") / 1048576.0).alias("log_weight"), (F.col("sample_key") / 1048576.0).alias("sample_key"), "kept")
+
+
 @register("op10_lpt_sharding")
 def op10(spark, sf_dir):
     text = F.col("text")

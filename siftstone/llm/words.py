@@ -69,8 +69,19 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts())
 
 
-def words(texts: list[bytes], table: np.ndarray | None = None, drop: np.ndarray | None = None, seed: int = 0) -> Words:
-    """Words of each text: maximal runs of bytes outside :data:`SPACE`, after ``table`` maps and ``drop`` removes bytes."""
+#: 0: white space, 1: ASCII letters, digits and bytes of other scripts, 2: ASCII marks
+KINDS = np.full(256, 2, np.uint8)
+KINDS[SPACE] = 0
+KINDS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+
+
+def words(
+    texts: list[bytes], table: np.ndarray | None = None, drop: np.ndarray | None = None, seed: int = 0, kinds: np.ndarray | None = None
+) -> Words:
+    """Words of each text: maximal runs of bytes outside :data:`SPACE`, after ``table`` maps and ``drop`` removes bytes.
+
+    With ``kinds`` a word is a maximal run of bytes of one kind other than 0.
+    """
     data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     begins = np.concatenate([[0], np.cumsum(sizes + 1)])
@@ -80,9 +91,14 @@ def words(texts: list[bytes], table: np.ndarray | None = None, drop: np.ndarray
         gone = drop[data]
         begins = begins - np.concatenate([[0], np.cumsum(gone)])[begins]
         data = data[~gone]
-    inside = ~SPACE[data]
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], inside.view(np.int8)])))
-    start, end = edge[0::2], edge[1::2]
+    if kinds is None:
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], (~SPACE[data]).view(np.int8)])))
+        start, end = edge[0::2], edge[1::2]
+    else:
+        kind = kinds[data]
+        edge = np.concatenate([[0], np.flatnonzero(kind[1:] != kind[:-1]) + 1, [len(kind)]])
+        real = kind[edge[:-1]] != 0
+        start, end = edge[:-1][real], edge[1:][real]
     _Powers.at_least(len(data) + 1)
     total = np.concatenate([[_U(0)], np.cumsum(_LUT[data] * _Powers.up[: len(data)], dtype=np.uint64)])
     code = mix((total[end] - total[start]) * _Powers.down[start], seed)
