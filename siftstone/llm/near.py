@@ -8,7 +8,8 @@ with the concentration of independent draws, at a cost of about |A| + T log T pe
 Banding. 32 bands of 5 coordinates: two sets at J = 0.8 share no band with probability (1 - 0.8**5)**32 = 3e-6.
 
 Linking. Equal sets collapse first. Then each band bucket offers its members' pairs in rounds: at first only each member
-against one pivot, later, in buckets that still hold several components, against 4, 8, 16, ... pivots. A pair within one component
+against one pivot, later, in buckets that still hold several components, against 4, 16, 64, ... pivots. Pivots are the nodes that share most
+buckets, so in a group of copies of one text that text comes first and links them all at once. A pair within one component
 needs no check any more, so copies never make all pairs, and the rounds end when every pair of every bucket is either inside
 one component or checked: no link is lost. Pairs pass a screen on sketches (estimate of 0.6 or more; a true pair fails it with a
 probability near 1e-10) and are then confirmed on the full sets.
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.llm.components import components
+from siftstone.llm.components import components, merged
 from siftstone.llm.words import LOWER_AZ, as_bytes, blocks, mix, shingle_sets, words
 from siftstone.plans.skew import durable, top_per_group
 
@@ -168,42 +169,44 @@ def near_duplicates(
     )
     nodes = members.where("bands IS NOT NULL").select(F.col("doc_id").alias("node"), "bands", "sketch").dropDuplicates(["node"])
     spread = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("pivot")).where("size > 1")
+    shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     live = durable(spread.join(shared, "bucket"), "buckets")
-    involved = live.select("node").distinct()
+    involved = durable(live.groupBy("node").agg(F.sum("size").alias("weight")), "involved")
     texts = narrow.join(involved, narrow["doc_id"] == involved["node"], "left_semi").dropDuplicates(["doc_id"])
     sets = durable(texts.mapInArrow(_set_task(shingle, lower_table, "text"), "node long, items binary"), "sets")
-    slim = durable(nodes.join(involved, "node", "left_semi").select("node", "sketch"), "slim")
+    slim = durable(nodes.join(involved, "node").select("node", "sketch"), "slim")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         screened = _joined(pairs, slim, "sketch").mapInArrow(_screen_task, "a long, b long")
         return _joined(screened, sets, "items").mapInArrow(_verify_task(percent), "a long, b long")
 
-    # first round: every node against the least pivot of its buckets
-    pairs = durable(
-        live.where("node <> pivot").groupBy("node").agg(F.min("pivot").alias("b")).select(F.col("node").alias("a"), "b"), "pairs"
-    )
-    tested, links = pairs, durable(confirmed(pairs), "links")
-    pivots = 2
+    # first round: every node against the heaviest pivot of its buckets
+    live = durable(live.join(involved, "node"), "buckets")
+    heaviest = F.struct("weight", (-F.col("node")).alias("node"))
+    pivots = live.groupBy("bucket").agg(F.max(heaviest).alias("pivot"))
+    pairs = live.join(pivots, "bucket").groupBy("node").agg(F.max("pivot").alias("pivot")).select(F.col("node").alias("a"), (-F.col("pivot.node")).alias("b")).where("a <> b")
+    tested = durable(pairs, "pairs")
+    links = durable(confirmed(tested), "links")
+    comp, tried = components(links), 1
     while True:
-        comp = components(links)
-        placed = live.select("bucket", "node", "size").join(comp, "node", "left").withColumn(
-            "component", F.coalesce("component", "node")
-        )
+        placed = live.select("bucket", "node", "size", "weight").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        # a bucket no larger than the pivots it has had is through
+        placed = placed.where(F.col("size") > tried) if tried > 1 else placed
         mixed = placed.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1")
-        # a bucket no larger than half the pivots has had all its pairs tried
-        live = durable(placed.where(F.col("size") > pivots // 2 if pivots > 2 else F.lit(True)).join(mixed, "bucket", "left_semi"), "live")
+        live = durable(placed.join(mixed, "bucket", "left_semi"), "live")
         if live.isEmpty():
             break
-        pivots *= 2
-        chosen = top_per_group(live, ["bucket"], [F.xxhash64("node"), F.col("node")], pivots).select(
+        tried *= 4
+        chosen = top_per_group(live, ["bucket"], [F.desc("weight"), F.asc("node")], tried).select(
             "bucket", F.col("node").alias("q"), F.col("component").alias("qc")
         )
         offered = live.join(chosen, "bucket").where("component <> qc").select(F.greatest("node", "q").alias("a"), F.least("node", "q").alias("b"))
-        pairs = durable(offered.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        links = durable(links.unionByName(confirmed(pairs)), "links")
+        seen = tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        pairs = durable(offered.distinct().join(seen, ["a", "b"], "left_anti"), "pairs")
         tested = tested.unionByName(pairs)
-        live = live.select("bucket", "node", "size")
+        links = durable(confirmed(pairs), "links")
+        if not links.isEmpty():
+            comp = durable(merged(comp, links), "components")
     component = comp.withColumnRenamed("node", "rep")
     out = members.select("doc_id", "n_shingles", "rep").dropDuplicates(["doc_id"]).join(component, "rep", "left")
     return out.select(

@@ -12,6 +12,7 @@ from siftstone.llm.registry import register, table
 from siftstone.llm.sharding import assign_shards, number_slots, size_of
 from siftstone.llm.substring import remove_repeats
 from siftstone.llm.topk import exact_top_k, quantised
+from siftstone.llm.toxicity import score_toxicity
 
 
 @register("op1_benchmark_decontamination")
@@ -80,6 +81,11 @@ def op4(spark, sf_dir):
     return exact_top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)
 
 
+@register("op5_toxicity_string_kernel")
+def op5(spark, sf_dir):
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @register("op7_chat_prefix_targets", chat.ORACLE)
 def op7(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
