@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from siftstone.llm import chat, mixing
 from siftstone.llm.decontam import contained_items
+from siftstone.llm.html_template import extract_main_text
 from siftstone.llm.near import near_duplicates
 from siftstone.llm.quality import importance_sample
 from siftstone.llm.registry import register, table
@@ -86,6 +87,11 @@ def op5(spark, sf_dir):
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@register("op6_html_template_extraction")
+def op6(spark, sf_dir):
+    return extract_main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @register("op7_chat_prefix_targets", chat.ORACLE)
 def op7(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
