@@ -7,12 +7,13 @@ with the concentration of independent draws, at a cost of about |A| + T log T pe
 
 Banding. 32 bands of 5 coordinates: two sets at J = 0.8 share no band with probability (1 - 0.8**5)**32 = 3e-6.
 
-Linking. Equal sets collapse first. Then each band bucket offers its members' pairs in rounds: at first only each member
-against one pivot, later, in buckets that still hold several components, against 4, 16, 64, ... pivots. Pivots are the nodes that share most
-buckets, so in a group of copies of one text that text comes first and links them all at once. A pair within one component
-needs no check any more, so copies never make all pairs, and the rounds end when every pair of every bucket is either inside
-one component or checked: no link is lost. Pairs pass a screen on sketches (estimate of 0.6 or more; a true pair fails it with a
-probability near 1e-10) and are then confirmed on the full sets.
+Linking. Equal sets collapse first. Every node is then verified against one pivot, the node of its buckets that shares most buckets itself: in a group of
+copies of one text that text comes first and links most of them at once. What is left are buckets that still hold several components. There
+every member outside the bucket's largest component is compared with all members of other components, so each pair of each bucket
+ends up inside one component or verified, and no link is lost. That comparison runs in blocks: a block holds up to :data:`BLOCK_NODES` sets of
+one pivot's followers and up to :data:`BLOCK_ASKS` nodes asking for them, and counts an asking set's common shingles with all sets of the block
+in one array pass, so pairs are never rows. Both the first step's screen (a sketch estimate of 0.6 or more, which a true pair fails with a probability
+near 1e-10) and the blocks end in counts on the full sets.
 """
 
 from __future__ import annotations
@@ -26,11 +27,12 @@ from pyspark.sql import functions as F
 
 from siftstone.llm.components import components, merged
 from siftstone.llm.words import LOWER_AZ, as_bytes, blocks, mix, shingle_sets, words
-from siftstone.plans.skew import durable, top_per_group
+from siftstone.plans.skew import durable
 
 BANDS, ROWS = 32, 5
 T = BANDS * ROWS
 SCREEN = 0.6
+BLOCK_NODES, BLOCK_BYTES, BLOCK_ASKS = 1024, 8 << 20, 1024
 
 _U = np.uint64
 
@@ -133,6 +135,59 @@ def _joined(pairs: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
     return pairs.select("a", "b", f"{column}_a", f"{column}_b")
 
 
+def _block_task(percent: int):
+    """Links between asking sets and the block's sets of other components, one for each asking node and component."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = [], []
+        if left.num_rows and right.num_rows:
+            node, comp = left.column("node").to_numpy(), left.column("component").to_numpy()
+            sets = [np.frombuffer(x, np.uint64) for x in left.column("items").to_pylist()]
+            size = np.fromiter(map(len, sets), np.int64, len(sets))
+            known, index = np.unique(np.concatenate(sets), return_inverse=True)
+            start = np.concatenate([[0], np.cumsum(size)[:-1]])
+            for who, own, items in zip(right.column("node").to_pylist(), right.column("component").to_pylist(), right.column("items").to_pylist(), strict=True):
+                items = np.frombuffer(items, np.uint64)
+                has = np.zeros(len(known), np.int32)
+                at = np.minimum(np.searchsorted(known, items), len(known) - 1)
+                has[at[known[at] == items]] = 1
+                both = np.add.reduceat(has[index], start)
+                hit = np.flatnonzero((100 * both >= percent * (size + len(items) - both)) & (comp != own))
+                first = hit[np.unique(comp[hit], return_index=True)[1]]
+                a.extend([who] * len(first))
+                b.extend(node[first].tolist())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _remaining_links(live: DataFrame, comp: DataFrame, followed: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """Links across components among members of one bucket (see the module's text); None when every bucket lies in one component."""
+    placed = live.select("bucket", "node").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    parts = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    mixed = parts.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    opened = durable(placed.join(mixed, "bucket").select("bucket", "node", "component", (F.col("component") != F.col("top.component")).alias("asks")), "open")
+    if opened.isEmpty():
+        return None
+    home = opened.select("node", "component").distinct().join(followed, "node", "left").withColumn("pivot", F.coalesce("pivot", "node"))
+    home = durable(home.join(sets, "node"), "homes")
+    room = home.groupBy("pivot").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum(F.length("items")) / BLOCK_BYTES)).alias("blocks")
+    )
+    home = home.join(room, "pivot").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).drop("blocks")
+    home = durable(home, "homes")
+    where = opened.join(home.select("node", "pivot", "block"), "node").select("bucket", "pivot", "block").distinct()
+    asks = opened.where("asks").select("bucket", "node", "component").join(where, "bucket").select("node", "component", "pivot", "block").distinct()
+    asks = durable(asks, "asks")
+    shares = asks.groupBy("pivot", "block").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ASKS).alias("shares"))
+    left = home.join(shares, ["pivot", "block"]).withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))
+    right = asks.join(shares, ["pivot", "block"]).withColumn("share", F.pmod(F.xxhash64("node"), F.col("shares"))).join(sets, "node")
+    keys = ["pivot", "block", "share"]
+    columns = [*keys, "node", "component", "items"]
+    found = left.select(*columns).groupBy(*keys).cogroup(right.select(*columns).groupBy(*keys)).applyInArrow(_block_task(percent), "a long, b long")
+    return durable(found, "links")
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -185,28 +240,12 @@ def near_duplicates(
     heaviest = F.struct("weight", (-F.col("node")).alias("node"))
     pivots = live.groupBy("bucket").agg(F.max(heaviest).alias("pivot"))
     pairs = live.join(pivots, "bucket").groupBy("node").agg(F.max("pivot").alias("pivot")).select(F.col("node").alias("a"), (-F.col("pivot.node")).alias("b")).where("a <> b")
-    tested = durable(pairs, "pairs")
-    links = durable(confirmed(tested), "links")
-    comp, tried = components(links), 1
-    while True:
-        placed = live.select("bucket", "node", "size", "weight").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        # a bucket no larger than the pivots it has had is through
-        placed = placed.where(F.col("size") > tried) if tried > 1 else placed
-        mixed = placed.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1")
-        live = durable(placed.join(mixed, "bucket", "left_semi"), "live")
-        if live.isEmpty():
-            break
-        tried *= 4
-        chosen = top_per_group(live, ["bucket"], [F.desc("weight"), F.asc("node")], tried).select(
-            "bucket", F.col("node").alias("q"), F.col("component").alias("qc")
-        )
-        offered = live.join(chosen, "bucket").where("component <> qc").select(F.greatest("node", "q").alias("a"), F.least("node", "q").alias("b"))
-        seen = tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        pairs = durable(offered.distinct().join(seen, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.unionByName(pairs)
-        links = durable(confirmed(pairs), "links")
-        if not links.isEmpty():
-            comp = durable(merged(comp, links), "components")
+    pairs = durable(pairs, "pairs")
+    comp = durable(components(confirmed(pairs)), "components")
+    followed = pairs.select(F.col("a").alias("node"), F.col("b").alias("pivot"))
+    links = _remaining_links(live, comp, followed, sets, percent)
+    if links is not None:
+        comp = merged(comp, links)
     component = comp.withColumnRenamed("node", "rep")
     out = members.select("doc_id", "n_shingles", "rep").dropDuplicates(["doc_id"]).join(component, "rep", "left")
     return out.select(
