@@ -75,9 +75,9 @@ sight AS (
     CAST(e.k AS VARCHAR) AS source_item_id, concat('d', CAST(e.k AS VARCHAR)) AS id,
     concat('user', CAST(e.user_id AS VARCHAR)) AS author, {KIND} AS kind, floor(e.value * 10) AS likes,
     strftime(e.ts, '%Y-%m-%dT%H:%M:%SZ') AS published_at, m.text, p.url
-  FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM events) e
+  FROM (SELECT *, event_id % (SELECT count(*) FROM documents) AS k FROM events) e
   LEFT JOIN marked m ON m.doc_id = e.k
-  LEFT JOIN pages p ON p.page_id = (e.k + e.user_id) % 50)"""
+  LEFT JOIN pages p ON p.page_id = (e.k + e.user_id) % (SELECT count(*) FROM pages))"""
 
 
 def canonical_sql(url: str, collapse: bool = True) -> str:
@@ -107,14 +107,8 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def _spread(self, name: str, key: str) -> DataFrame:
-        """A table whose files are fewer than the cores is spread by key before heavy row work; larger ones stay as read."""
-        df = getattr(self, name)
-        cores = self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
-
     def marked(self) -> DataFrame:
-        return self._spread("documents", "doc_id").select("doc_id", "lang", F.col("source").alias("author"), F.expr(f"concat(text, {SUFFIX})").alias("text"))
+        return self.documents.select("doc_id", "lang", F.col("source").alias("author"), F.expr(f"concat(text, {SUFFIX})").alias("text"))
 
     def posts(self) -> DataFrame:
         """Documents as posts, with metrics and time from the event of the same number and the page's URL."""
@@ -150,9 +144,9 @@ class Tables:
         return build_items(items)
 
     def sightings(self) -> DataFrame:
-        """Events as sightings of the document their payload names."""
-        k = F.regexp_extract("props", "([0-9]+)", 1).cast("bigint")
-        e = self._spread("events", "event_id").withColumn("k", k).withColumn("page_id", (F.col("k") + F.col("user_id")) % 50)
+        """Events as sightings, dealt over all documents and pages."""
+        n_docs, n_pages = max(self.documents.count(), 1), max(self.pages.count(), 1)
+        e = self.events.withColumn("k", F.col("event_id") % n_docs).withColumn("page_id", (F.col("k") + F.col("user_id")) % n_pages)
         docs = self.marked().select(F.col("doc_id").alias("k"), "text")
         rows = e.join(docs, "k", "left").join(self.pages.select("page_id", "url"), "page_id", "left")
         text = lambda prefix, col: F.concat(F.lit(prefix), F.col(col).cast("string"))

@@ -12,13 +12,12 @@ from .base import MARKED_SQL, POSTS_SQL, fold, query
 
 # text with non-ASCII letters as '_' so that the SQL engine's ASCII word boundaries agree with Unicode ones
 MASK = "regexp_replace({0}, '[^\\x00-\\x7F]', '_', 'g')"
-PROMO = "(" + " OR ".join(
-    f"contains(f, '{p}')"
-    for p in (
-        "airdrop,giveaway,sponsored,affiliate,referral,promo code,coupon,discount,shop now,buy now,order now,use code,"
-        "link in bio,merch,storefront,invite code,dm me,dm us,follow back,whitelist,mint live,プレゼント企画"
-    ).split(",")
-) + ")"
+# fixed values: the promotion phrases, plainly, as the SQL engine has no such list
+PROMO_TEXTS = (
+    "airdrop", "giveaway", "sponsored", "affiliate", "referral", "promo code", "coupon", "discount", "shop now", "buy now", "order now",
+    "use code", "link in bio", "merch", "storefront", "invite code", "dm me", "dm us", "follow back", "whitelist", "mint live", "プレゼント企画",
+)
+PROMO = "(" + " OR ".join(f"contains(f, '{p}')" for p in PROMO_TEXTS) + ")"
 
 
 def squeezed(expr: str) -> str:
@@ -182,13 +181,44 @@ def search_filter(t):
     return found.select("ord", "author")
 
 
-@query("search_posts", f"""WITH {POSTS_SQL}, pool AS (SELECT * FROM posts WHERE kind IS DISTINCT FROM 'retweet' AND kind IS DISTINCT FROM 'reply'
-   AND contains({fold('text')}, 'workflow') ORDER BY coalesce(likes, 0) DESC, ord LIMIT 30),
+def _search_sql(name: str, where: str, order: str, limit: int) -> str:
+    """Pool in result order, quality reasons, backfill: the CTEs of one search, ending in one named ``name``."""
+    pool = f"""SELECT *, row_number() OVER (ORDER BY {order}) AS place FROM posts WHERE kind IS DISTINCT FROM 'retweet' AND kind IS DISTINCT FROM 'reply'
+   AND {where} ORDER BY place LIMIT {3 * limit}"""
+    return f"""SELECT ord, place, class FROM (WITH pool AS ({pool}),
 c AS (SELECT *, {counts_sql('text', 'CASE WHEN url IS NULL THEN 0 ELSE 1 END')}, {fold('text')} AS f, false AS miss FROM pool), {REASONS_SQL},
 k AS (SELECT *, CASE WHEN len(reasons) = 0 THEN 0 WHEN reasons = ['engagement_gate'] THEN 1 ELSE 2 END AS class FROM j)
-SELECT ord, class = 1 AS backfilled FROM k WHERE class < 2 ORDER BY class, ord LIMIT 10""")
+SELECT ord, place, class FROM k WHERE class < 2 ORDER BY class, place LIMIT {limit}) {name}"""
+
+
+_TOP, _LATEST = "coalesce(likes, 0) DESC, ord", "published_ts DESC NULLS LAST, ord"
+
+
+@query("search_posts", f"""WITH {POSTS_SQL} SELECT ord, place AS search_rank, class = 1 AS backfilled FROM ({_search_sql('s', f"contains({fold('text')}, 'workflow')", _TOP, 10)})""")
 def search_posts(t):
-    return search.search_posts(t.posts(), "workflow", limit=10).kept.select("ord", "backfilled")
+    kept = search.search_posts(t.posts(), "workflow", limit=10).kept
+    return kept.select("ord", F.col("search_rank").cast("bigint").alias("search_rank"), "backfilled")
+
+
+@query("search_inline", f"""WITH {POSTS_SQL} SELECT ord, place AS search_rank, unbounded FROM (
+ SELECT *, false AS unbounded FROM ({_search_sql('s', f"contains({fold('text')}, 'workflow') AND contains({fold('text')}, 'logs') AND lang = 'en' AND likes >= 20 AND published_ts >= TIMESTAMP '2024-01-01 00:00:00'", _LATEST, 10)}))""")
+def search_inline(t):
+    kept = search.search_posts(t.posts(), "workflow lang:en min_likes:20 since:2024-01-01 TYPE:latest logs", limit=10).kept
+    return kept.select("ord", F.col("search_rank").cast("bigint").alias("search_rank"), F.col("unbounded_time_window").alias("unbounded"))
+
+
+@query("search_from_user", f"""WITH {POSTS_SQL} SELECT ord, place AS search_rank FROM ({_search_sql('s', f"lower(author) = 'src0' AND contains({fold('text')}, 'workflow')", _TOP, 10)})""")
+def search_from_user(t):
+    kept = search.search_posts(t.posts(), "workflow from:@SRC0", limit=10).kept
+    return kept.select("ord", F.col("search_rank").cast("bigint").alias("search_rank"))
+
+
+@query("search_many_queries", f"""WITH {POSTS_SQL} SELECT 'workflow' AS query_id, ord, place AS search_rank FROM ({_search_sql('a', f"contains({fold('text')}, 'workflow')", _TOP, 10)})
+UNION ALL SELECT 'latency type:latest', ord, place FROM ({_search_sql('b', f"contains({fold('text')}, 'latency')", _LATEST, 10)})
+UNION ALL SELECT 'nothing:here latency', ord, place FROM ({_search_sql('c', f"contains({fold('text')}, 'nothing:here')", _TOP, 10)})""")
+def search_many_queries(t):
+    kept = search.search_many(t.posts(), ["workflow", "latency type:latest", "nothing:here latency"], limit=10).kept
+    return kept.select("query_id", "ord", F.col("search_rank").cast("bigint").alias("search_rank"))
 
 
 @query("hashtag_posts", f"""WITH {MARKED_SQL} SELECT doc_id AS ord FROM marked
@@ -268,7 +298,7 @@ def evaluated(t):
     posts = t.posts().withColumn("urls", F.array().cast("array<string>"))
     # parts beyond those of the SQL are empty here, and the canonical URL only repeats the URL
     parts = [F.col("title"), F.col("text"), F.col("author"), F.col("url")]
-    return tf.evaluate(posts, parts, tf.TopicRules.of(RULES), ascii_only=True)
+    return tf.evaluate(posts, parts, tf.TopicRules.of(RULES))
 
 
 @query("topic_fit", f"""WITH {POSTS_SQL}, {FIT_SQL}
@@ -300,7 +330,7 @@ def topic_fit_many_rules(t):
         "no_ads": tf.TopicRules.of({"excluded_terms": ["coupon"]}),
         "both": tf.TopicRules.of({"required_all_terms": ["pricing", "codex"]}),
     }
-    out = tf.evaluate_many(t.marked(), [F.col("text"), F.col("author")], sets, ascii_only=True)
+    out = tf.evaluate_many(t.marked(), [F.col("text"), F.col("author")], sets)
     return out.select("doc_id", "rule_set_id", F.col("topic_fit.matched").alias("matched"), F.col("topic_fit.score_bonus").alias("bonus"))
 
 

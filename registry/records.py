@@ -65,7 +65,7 @@ def lines(t):
         .otherwise(good)
     )
     file = F.concat(F.lit("shard-"), (n % 4).cast("string"), F.lit(".jsonl"))
-    return t._spread("events", "event_id").select(value.alias("value"), file.alias("file"), F.lit(0).cast("bigint").alias("block_start"), n.alias("seq"))
+    return t.events.select(value.alias("value"), file.alias("file"), F.lit(0).cast("bigint").alias("block_start"), n.alias("seq"))
 
 
 _REC = f"""r AS (SELECT event_id AS n, CASE WHEN event_id % 2 = 0 THEN 'web' ELSE 'feed' END AS channel, event_type = 'error' AS failed,
@@ -89,7 +89,9 @@ _REC = f"""r AS (SELECT event_id AS n, CASE WHEN event_id % 2 = 0 THEN 'web' ELS
  UNION ALL SELECT 'raw_mode', CASE WHEN n % 4 = 0 THEN 'none' ELSE 'full' END, 1 FROM r
  UNION ALL SELECT 'item_text_mode', CASE WHEN failed THEN 'none' ELSE 'full' END, 1 FROM r
  UNION ALL SELECT 'timeline_item_kind', kind, items FROM r WHERE kind IS NOT NULL AND items > 0
- UNION ALL SELECT 'filter_drop_reason', 'promo_phrase', n % 3 FROM r)
+ UNION ALL SELECT 'filter_drop_reason', 'promo_phrase', n % 3 FROM r
+ UNION ALL SELECT 'total', 'files_checked', count(DISTINCT event_id % 4) FROM events
+ UNION ALL SELECT 'total', 'valid', (count(*) FILTER (event_id % 20 IN (1, 2, 3)) = 0)::INT FROM events)
 SELECT section, key, CAST(sum(n) AS BIGINT) AS count FROM o GROUP BY ALL""")
 def ledger_health(t):
     return ledger.health(ledger.parse(lines(t)))
@@ -108,6 +110,52 @@ def ledger_valid_flag(t):
     return found.where("key = 'valid'").select(F.col("count").alias("valid"))
 
 
+@query("ledger_valid_clean", f"""WITH {_REC} SELECT CAST(count(*) > 0 AS BIGINT) AS valid FROM r""")
+def ledger_valid_clean(t):
+    """Only well-formed lines, one of their channels named like a problem counter."""
+    good = lines(t).where(F.col("seq") % 20 > 3).withColumn("value", F.replace("value", F.lit('"channel":"web"'), F.lit('"channel":"invalid_lines"')))
+    return ledger.health(ledger.parse(good)).where("section = 'total' AND key = 'valid'").select(F.col("count").alias("valid"))
+
+
+@query("ledger_health_source_filter", f"""WITH {_REC} SELECT key, count FROM (SELECT 'records' AS key, count(*) AS count FROM r WHERE n % 4 = 2
+ UNION ALL SELECT 'items_seen', CAST(sum(items) AS BIGINT) FROM r WHERE n % 4 = 2)""")
+def ledger_health_source_filter(t):
+    found = ledger.health(ledger.parse(lines(t)), filters=["source.file == shard-2.jsonl"])
+    return found.where("section = 'total' AND key IN ('records', 'items_seen')").select("key", "count")
+
+
+@query("ledger_query_totals", f"""WITH {_REC} SELECT (SELECT count(*) FROM events WHERE event_id % 20 > 2) AS scanned_records,
+ (SELECT count(*) FROM r WHERE channel = 'feed') AS matched_records, (SELECT count(*) FROM events WHERE event_id % 20 = 1) AS invalid_lines""")
+def ledger_query_totals(t):
+    return ledger.query_totals(ledger.parse(lines(t)), ["channel == feed"])
+
+
+@query("ledger_filter_big_ids", "SELECT event_id AS n FROM events WHERE event_id > 100 AND event_id <= 200 OR event_id = 7")
+def ledger_filter_big_ids(t):
+    """Ids of 19 digits, which doubles cannot tell apart, in lines that start with a tab."""
+    ids = t.events.select(F.col("event_id").alias("seq"), (F.lit(1790000000000000000) + F.col("event_id")).alias("post"))
+    made = ids.select(F.concat(F.lit('\t{"post":'), F.col("post").cast("string"), F.lit("}")).alias("value"), F.lit("a.jsonl").alias("file"), F.lit(0).cast("bigint").alias("block_start"), "seq")
+    parsed = ledger.parse(made)
+    some = ledger.query(parsed, filters=["post > 1790000000000000100", "post <= 1790000000000000200"])
+    return some.unionByName(ledger.query(parsed, filters=["post == 1790000000000000007"])).select(F.col("seq").alias("n"))
+
+
+@query("ledger_round_trip", f"""WITH {_REC} SELECT n FROM r""")
+def ledger_round_trip(t):
+    """What the append sink writes, the ledger scan reads."""
+    import uuid
+
+    from siftstone.plans.skew import scratch_folder
+
+    base = f"{scratch_folder(t.spark)}/trip-{uuid.uuid4().hex}"
+    records = ledger.parse(lines(t)).where("state = 'ok'").select(
+        F.try_variant_get("rec", "$.result", "variant").alias("result"), F.col("seq").cast("string").alias("query_id")
+    )
+    ledger.append_records(ledger.build_records(records, "run-1"), base)
+    back = ledger.parse(ledger.read_lines(t.spark, base)).where("state = 'ok'")
+    return back.select(F.try_variant_get("rec", "$.query_id", "string").cast("bigint").alias("n"))
+
+
 @query("ledger_summary", f"""WITH {_REC} SELECT 'records' AS key, count(*) AS count FROM r UNION ALL SELECT 'ok_records', count(*) FROM r WHERE NOT failed
  UNION ALL SELECT 'error_records', count(*) FROM r WHERE failed UNION ALL SELECT 'items_seen', CAST(sum(items) AS BIGINT) FROM r""")
 def ledger_summary(t):
@@ -130,7 +178,7 @@ def ledger_line_numbers(t):
 
 
 _FILTERS = {
-    "ledger_filter_numbers": (["count >= 1", "result.engagement != 5", "count <= 2"], "false"),
+    "ledger_filter_numbers": (["count >= 1", "result.meta.attempt != 5", "count < 2"], "items = 1"),
     "ledger_filter_equal": (["channel == feed", "ok == true", "result.items.0.author == user7"], "channel = 'feed' AND NOT failed AND user_id = 7"),
     "ledger_filter_null": (["error_code != null", "query_id == null"], "failed"),
     "ledger_filter_bool_number": (["result.ok == 1", "result.meta.attempt == true"], "NOT failed"),
@@ -233,6 +281,6 @@ def ledger_written_shards(t):
         F.try_variant_get("rec", "$.result", "variant").alias("result"), F.try_variant_get("rec", "$.intent", "string").alias("intent")
     )
     ledger.append_records(ledger.build_records(records, "run-9"), f"{base}/in", shard_by=["channel", "operation"])
-    ledger.merge(ledger.read_shards(t.spark, f"{base}/in"), f"{base}/merged")
-    back = ledger.coerce(ledger.parse(ledger.read_shards(t.spark, f"{base}/merged")))
+    ledger.merge(ledger.read_lines(t.spark, f"{base}/in"), f"{base}/merged")
+    back = ledger.coerce(ledger.parse(ledger.read_lines(t.spark, f"{base}/merged")))
     return back.groupBy("channel").agg(F.count(F.lit(1)).alias("records"), F.sum(F.size("items")).cast("bigint").alias("items"))

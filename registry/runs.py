@@ -17,7 +17,7 @@ _LOG_SQL = """log AS (SELECT event_id, concat('q', CAST(event_id AS VARCHAR)) AS
 
 
 def log(t):
-    e, kind, n = t._spread("events", "event_id"), F.col("event_type"), F.col("event_id")
+    e, kind, n = t.events, F.col("event_type"), F.col("event_id")
     code = F.when(kind == "error", F.when(n % 2 == 0, "http_429").otherwise("parse_failed"))
     staged = e.select(
         "event_id",

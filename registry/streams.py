@@ -27,9 +27,6 @@ class Stream:
         schema = self.spark.read.parquet(f"{self.folder}/{name}.parquet").schema
         return self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(self.folder)
 
-    def _spread(self, name, key):
-        return getattr(self, name)
-
 
 @query("stream_seen_counts", """SELECT CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k, count(*) AS seen_in_count FROM events GROUP BY 1""")
 def stream_seen_counts(t):

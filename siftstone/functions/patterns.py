@@ -98,12 +98,14 @@ PROMO_PHRASES = (
     "プレゼント企画",
 )
 STOP_TOKENS = (
-    "about after again also and are because been before being but can for from get had has have here how into just "
-    "link more now our out over post that the this today use was with you your"
-).split()
+    "about", "after", "again", "also", "and", "are", "because", "been", "before", "being", "but", "can", "for",
+    "from", "get", "had", "has", "have", "here", "how", "into", "just", "link", "more", "now", "our", "out", "over",
+    "post", "that", "the", "this", "today", "use", "was", "with", "you", "your",
+)
 QUERY_OPERATORS = (
-    "from to lang type since until has exclude min_likes min-likes min_retweets min-retweets min_views min-views"
-).split()
+    "from", "to", "lang", "type", "since", "until", "has", "exclude", "min_likes", "min-likes", "min_retweets",
+    "min-retweets", "min_views", "min-views",
+)
 QUERY_PUNCTUATION = "\"'()[]{}<>.,!?;:"
 IMAGE_EXTENSIONS = (".png", ".jpg", ".jpeg", ".gif", ".webp", ".bmp", ".svg", ".avif")
 # ---- end of fixed values ----------------------------------------------------------------------------------------

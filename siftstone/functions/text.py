@@ -106,15 +106,12 @@ def _unescape(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else html.unescape(v))
 
 
-def norm_text(col: Column, *, ascii_only: bool = False) -> Column:
+def norm_text(col: Column) -> Column:
     """NFKC + case fold + squeeze.
 
     Spark has no NFKC. Rows made of NFKC-stable characters stay in the JVM; the others alone carry their text to the
-    Arrow function (the rest are sent as null). ``ascii_only`` leaves the Python stage out of the plan altogether for
-    callers who know their text, which also keeps whole-stage code generation unbroken.
+    Arrow function (the rest are sent as null).
     """
-    if ascii_only:
-        return squeeze(casefold(col))
     unstable = col.rlike(f"[^{_NFKC_STABLE}]")
     return squeeze(casefold(F.when(unstable, _nfkc(F.when(unstable, col))).otherwise(col)))
 

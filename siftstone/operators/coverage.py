@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -30,10 +29,6 @@ def probe_limit(target_posts: int) -> int:
     return min(max(math.ceil(target_posts / 2), 5), 25)
 
 
-def _slug(value: str) -> str:
-    return re.sub(r"[^a-z0-9._-]+", "-", str(value).strip().lower()).strip("._-")[:80]
-
-
 def topic_haystack() -> Column:
     return T.casefold(T.joined(F.col("title"), F.col("text"), F.col("author")))
 
@@ -95,14 +90,6 @@ def report(ranked: DataFrame, topics: Sequence[Topic], *, min_posts_per_topic: i
     )
 
 
-def default_query(objective: str, first_query: str, topic: Topic) -> str:
-    base = (objective or "").strip() or (first_query or "").strip()
-    label = topic.label.strip()
-    if base and label and label.casefold() not in base.casefold():
-        return f"{base} {label}"
-    return base or label
-
-
 def follow_ups(
     spark: SparkSession,
     topics: Sequence[Topic],
@@ -113,28 +100,34 @@ def follow_ups(
     target_posts: int = 100,
     intent: str = "mission",
 ) -> DataFrame:
-    """Every possible follow-up query of the declared topics, in (topic, query, language) order. Configuration-sized."""
-    rows, order = [], 0
-    for t_index, topic in enumerate(topics):
-        for query in topic.queries or (default_query(objective, first_query, topic),):
-            for lang in languages or (None,):
-                text = str(query or "").strip()
-                if text:
-                    rows.append(
-                        (
-                            order,
-                            t_index,
-                            topic.topic_id,
-                            _slug(topic.label or "topic"),
-                            text,
-                            str(lang or "").strip() or None,
-                            topic.probe_limit or probe_limit(target_posts),
-                            f"{intent}:coverage:{_slug(topic.label or 'topic')}",
-                        )
-                    )
-                    order += 1
-    schema = "ord int, topic_order int, topic_id string, slug string, input string, lang string, probe int, intent string"
-    return spark.createDataFrame(rows, schema)
+    """Every possible follow-up query of the declared topics, in (topic, query, language) order. Configuration-sized.
+
+    A topic without queries of its own asks for the objective (or the mission's first query) together with its label.
+    """
+    declared = spark.createDataFrame(
+        [(i, t.topic_id, t.label, list(t.queries), t.probe_limit or probe_limit(target_posts)) for i, t in enumerate(topics)],
+        "topic_order int, topic_id string, label string, queries array<string>, probe int",
+    )
+    label = T.strip(F.coalesce("label", F.lit("")))
+    subject = F.coalesce(*[F.nullif(T.strip(F.lit(x or "")), F.lit("")) for x in (objective, first_query)], F.lit(""))
+    told = F.contains(T.casefold(subject), T.casefold(label))
+    general = F.when(told, subject).otherwise(T.strip(F.concat_ws(" ", subject, label)))
+    asked = F.when(F.size("queries") > 0, F.col("queries")).otherwise(F.array(general))
+    spoken = F.array(*[F.lit(x).cast("string") for x in (languages or (None,))])
+    name = F.coalesce(F.nullif(F.col("label"), F.lit("")), F.lit("topic"))
+    each = declared.withColumn("slug", T.slugify(name)).select("*", F.posexplode(asked).alias("q", "text"))
+    each = each.select("*", F.posexplode(spoken).alias("l", "spoken")).withColumn("input", T.strip(F.coalesce("text", F.lit(""))))
+    each = each.where(F.length("input") > 0)
+    return each.select(
+        (F.row_number().over(Window.orderBy("topic_order", "q", "l")) - 1).alias("ord"),
+        "topic_order",
+        "topic_id",
+        "slug",
+        "input",
+        F.nullif(T.strip("spoken"), F.lit("")).alias("lang"),
+        "probe",
+        F.concat(F.lit(f"{intent}:coverage:"), "slug").alias("intent"),
+    )
 
 
 def _query_key(input_: Column, lang: Column) -> list[Column]:
@@ -215,8 +208,14 @@ def coverage_summary(marked: DataFrame, ranked_count: Column | int, target: int,
     )
 
 
-def expand_queries(queries: DataFrame, languages: Sequence[str]) -> DataFrame:
-    """One copy of each search query per language; queries with a language of their own or another operation pass through."""
+def expand_queries(queries: DataFrame, languages: DataFrame | Sequence[str]) -> DataFrame:
+    """One copy of each search query per language; queries with a language of their own or another operation pass through.
+
+    ``languages`` is a list or a one-column table of any length, joined to the queries that take part.
+    """
     own = (F.col("operation") != "search") | (F.length("lang") > 0)
-    langs = F.array(*[F.lit(x) for x in languages]).cast("array<string>") if languages else F.array(F.col("lang"))
-    return queries.withColumn("lang", F.explode(F.when(own, F.array(F.col("lang"))).otherwise(langs)))
+    if not isinstance(languages, DataFrame):
+        languages = queries.sparkSession.createDataFrame([(x,) for x in languages], "lang string")
+    spoken = languages.toDF("__lang").distinct().withColumn("__takes", F.lit(True))
+    marked = queries.withColumn("__takes", ~F.coalesce(own, F.lit(False)))
+    return marked.join(spoken, "__takes", "left").withColumn("lang", F.coalesce("lang", "__lang")).drop("__takes", "__lang")

@@ -33,7 +33,6 @@ def post_filter(
     min_seen_in: int | None = None,
     drop_title_duplicates: bool = False,
     max_per_author: int | None = None,
-    ascii_only: bool = False,
 ) -> PostFiltered:
     """Noise, topic fit, seen-in, title duplicate and author cap, in this order; each row is dropped by the first stage it
     fails. With active topic rules the query-match fallback is off."""
@@ -57,7 +56,7 @@ def post_filter(
             )
         )
     if rules.enabled:
-        candidates = tf.evaluate(candidates, tf.candidate_parts(), rules, ascii_only=ascii_only)
+        candidates = tf.evaluate(candidates, tf.candidate_parts(), rules)
         stages.append(F.col("topic_fit.drop_reasons"))
     if min_seen_in is not None:
         stages.append(F.when(F.col("seen_in_count") < min_seen_in, F.array(F.lit("seen_in"))).otherwise(none))
@@ -195,59 +194,24 @@ def apply_diversity(ranked: DataFrame, caps: dict[str, int | None], rank: str =
 
 # ---- topic spread ------------------------------------------------------------------------------------------------
 
-_SPREAD_SCHEMA = (
-    "position int, rank long, status string, available_topic_count int, selected_topic_ids array<string>, "
-    "unavailable_topic_ids array<string>, unselected_available_topic_ids array<string>, promoted_count int, reordered boolean"
-)
-
-
-def _spread(pool: pd.DataFrame, topics: list[str], target: int) -> pd.DataFrame:
-    """Pick one best unused row per declared topic, then fill by rank. ``pool`` is bounded by topics and target."""
-    rows = pool.sort_values("rank")
-    records = [
-        (int(r.rank), r.identity, set(r.topics) if r.topics is not None else set(), bool(r.in_original))
-        for r in rows.itertuples()
-    ]
-    available = set(rows["available"].iloc[0]) if len(rows) else set()
-    original = [rec for rec in records if rec[3]]
-    chosen, used, covered = [], set(), set()
-
-    def take(rec):
-        chosen.append(rec)
-        used.add(rec[1])
-        covered.update(rec[2])
-
-    for topic in topics:
-        if len(chosen) >= target:
-            break
-        if topic in covered:
-            continue
-        best = next((rec for rec in records if rec[1] not in used and topic in rec[2]), None)
-        if best is not None:
-            take(best)
-    for rec in records:
-        if len(chosen) >= target:
-            break
-        if rec[1] not in used:
-            take(rec)
-    got = {t for rec in chosen for t in rec[2] if t in topics}
-    before = [rec[1] for rec in original]
-    now = [rec[1] for rec in chosen]
-    reordered = now != before[: len(now)]
-    wanted = min(len(available), target)
-    status = (
-        "applied_partial" if len(got) < wanted else ("applied" if reordered else "already_satisfied")
-    )
-    shared = {
-        "status": status,
-        "available_topic_count": len(available),
-        "selected_topic_ids": [t for t in topics if t in got],
-        "unavailable_topic_ids": [t for t in topics if t not in available],
-        "unselected_available_topic_ids": [t for t in topics if t in available and t not in got],
-        "promoted_count": sum(k not in set(before) for k in now),
-        "reordered": reordered,
-    }
-    return pd.DataFrame([{"position": i, "rank": rec[0], **shared} for i, rec in enumerate(chosen, start=1)])
+
+def _picked(pool: Column, topics: list[str], target: int) -> Column:
+    """Chosen entries of an array of (rank, identity, topics, in_original) in rank order: one per uncovered topic first, then by rank."""
+
+    def has(entries: Column, test) -> Column:
+        return F.exists(entries, test)
+
+    def for_topic(chosen: Column, topic: Column) -> Column:
+        free = F.filter(pool, lambda p: F.array_contains(p["topics"], topic) & ~has(chosen, lambda c: c["identity"] == p["identity"]))
+        done = (F.size(chosen) >= target) | has(chosen, lambda c: F.array_contains(c["topics"], topic))
+        return F.when(done, chosen).otherwise(F.concat(chosen, F.slice(free, 1, 1)))
+
+    def fill(chosen: Column, entry: Column) -> Column:
+        done = (F.size(chosen) >= target) | has(chosen, lambda c: c["identity"] == entry["identity"])
+        return F.when(done, chosen).otherwise(F.concat(chosen, F.array(entry)))
+
+    declared = F.array(*[F.lit(t) for t in topics])
+    return F.aggregate(pool, F.aggregate(declared, F.slice(pool, 1, 0), for_topic), fill)
 
 
 def topic_spread(
@@ -308,12 +272,30 @@ def topic_spread(
         narrow.join(F.broadcast(wanted), "rank", "left_semi")
         .join(F.broadcast(first), "rank", "left")
         .fillna(False, ["in_original"])
-        .withColumn("available", F.array(*[F.lit(t) for t in available]))
     )
-    picked = durable(
-        pool.groupBy(F.lit(1).alias("g")).applyInPandas(lambda pdf: _spread(pdf, topics, target), _SPREAD_SCHEMA), "picked"
+    entry = F.struct("rank", "identity", "topics", "in_original")
+    one = pool.groupBy().agg(F.sort_array(F.collect_list(entry)).alias("pool"))
+    one = one.select("pool", _picked(F.col("pool"), topics, target).alias("chosen"))
+    names_of = lambda c: F.transform(c, lambda e: e["identity"])
+    on_offer = F.array(*[F.lit(t) for t in available])
+    got = F.filter(declared, lambda t: F.exists("chosen", lambda c: F.array_contains(c["topics"], t)))
+    before, now = names_of(F.filter("pool", lambda e: e["in_original"])), names_of(F.col("chosen"))
+    moved = now != F.slice(before, F.lit(1), F.greatest(F.size(now), F.lit(1)))
+    diag = durable(
+        one.select(
+            "chosen",
+            F.when(F.size(got) < min(len(available), target), "applied_partial").when(moved, "applied").otherwise("already_satisfied").alias("status"),
+            F.lit(len(available)).alias("available_topic_count"),
+            got.alias("selected_topic_ids"),
+            F.array_except(declared, on_offer).alias("unavailable_topic_ids"),
+            F.filter(declared, lambda t: F.array_contains(on_offer, t) & ~F.array_contains(got, t)).alias("unselected_available_topic_ids"),
+            F.size(F.filter(now, lambda x: ~F.array_contains(before, x))).alias("promoted_count"),
+            moved.alias("reordered"),
+        ),
+        "picked",
     )
-    diag = picked.where("position = 1").drop("position", "rank")
+    picked = diag.select(F.posexplode("chosen").alias("p", "e")).select((F.col("p") + 1).alias("position"), F.col("e.rank").alias("rank"))
+    diag = diag.drop("chosen")
     chosen = picked.select(F.col("rank").alias(rank), "position")
     return ranked.join(F.broadcast(chosen), rank), diag
 

@@ -46,7 +46,8 @@ def dedupe_key(by: str) -> Column:
     if by == "source_item_id":
         return F.coalesce(scoped("source_item_id", post), url_key)
     if by == "domain":
-        return F.concat(F.lit("domain:"), named("domain", U.url_domain(url)))
+        given = identifier("domain")
+        return F.concat(F.lit("domain:"), F.when(given.isNull(), U.url_domain(url)).otherwise(filled(T.strip(given))))
     if by == "author":
         return scoped("author", named("author_handle", filled(F.col("author"))))
     if by == "post":

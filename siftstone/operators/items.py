@@ -71,6 +71,10 @@ def preference_rank(kind: Column) -> Column:
     )
 
 
+#: fixed values of HTML: references that occur in URLs, the ampersand last
+URL_ENTITIES = (("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&#38;", "&"), ("&amp;", "&"))
+
+
 def media_references(entries: Column) -> Column:
     """Typed media references out of a VARIANT array; entries without an http(s) URL are skipped, first copy kept."""
 
@@ -78,8 +82,9 @@ def media_references(entries: Column) -> Column:
         return F.coalesce(*[F.nullif(F.try_variant_get(entry, f"$.{n}", "string"), F.lit("")) for n in names])
 
     def clean(col: Column) -> Column:
-        # entities are left alone here: Arrow stages cannot run inside a lambda, unescape_media() handles exploded rows
         value = T.strip(col)
+        for entity, char in URL_ENTITIES:
+            value = F.replace(value, F.lit(entity), F.lit(char))
         return F.when(value.rlike("^https?://"), value)
 
     def build(entry: Column) -> Column:

@@ -53,7 +53,10 @@ def attach_results(evidence_rows: DataFrame, results: DataFrame, *, policy: str
     """Join judge results (id, decision, confidence) to the evidence; rows without a result get the fallback."""
     fallback = F.lit("fallback_keep" if policy == "keep_ranked" else "unsure")
     judged = F.col("__decision").isNotNull()
-    r = results.select("id", F.col("decision").alias("__decision"), F.col("confidence").alias("__confidence"))
+    # several results of one id count as one: the most confident
+    best = F.max_by(F.struct("decision", "confidence"), F.struct(F.coalesce("confidence", F.lit(-1.0)), "decision"))
+    r = results.where("id IS NOT NULL").groupBy("id").agg(best.alias("r"))
+    r = r.select("id", F.col("r.decision").alias("__decision"), F.col("r.confidence").alias("__confidence"))
     return evidence_rows.join(r, "id", "left").select(
         *evidence_rows.columns,
         F.when(judged, F.lit("judged")).otherwise(F.lit("unjudged")).alias("status"),

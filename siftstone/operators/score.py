@@ -15,14 +15,16 @@ from .items import ITEM_COLUMNS, with_columns
 RUBRIC_VERSION = "deterministic_evidence_v3"
 # fixed values: reason groups used by the diagnostics and by near-duplicate detection
 NEGATIVE_REASONS = (
-    "query_miss_penalty reply retweet thin_quote thin_content promo_language commerce_language cta_language "
-    "generic_announcement low_evidence_promo cta_over_evidence weak_evidence_density coverage_topic_only media_only "
-    "near_duplicate_downrank near_duplicate_promo_cluster near_duplicate_template"
-).split()
-DOWNRANK_REASONS = "near_duplicate_downrank near_duplicate_promo_cluster near_duplicate_template".split()
+    "query_miss_penalty", "reply", "retweet", "thin_quote", "thin_content", "promo_language", "commerce_language",
+    "cta_language", "generic_announcement", "low_evidence_promo", "cta_over_evidence", "weak_evidence_density",
+    "coverage_topic_only", "media_only", "near_duplicate_downrank", "near_duplicate_promo_cluster",
+    "near_duplicate_template",
+)
+DOWNRANK_REASONS = ("near_duplicate_downrank", "near_duplicate_promo_cluster", "near_duplicate_template")
 PROMOISH_REASONS = (
-    "promo_language commerce_language cta_language generic_announcement low_evidence_promo weak_evidence_density"
-).split()
+    "promo_language", "commerce_language", "cta_language", "generic_announcement", "low_evidence_promo",
+    "weak_evidence_density",
+)
 
 
 def concrete_details(text: Column) -> Column:

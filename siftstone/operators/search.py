@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -112,9 +112,9 @@ def search_filter(
     if until is not None:
         posts = posts.where(F.col("published_ts") < F.lit(until).cast("timestamp"))
     if from_user is not None:
-        posts = posts.where(F.col("author") == from_user)
+        posts = posts.where(F.lower("author") == F.lower(U.screen_name(F.lit(from_user))))
     if to_user is not None:
-        posts = posts.where(F.array_contains(mentions_in(F.col("text")), to_user.lower()))
+        posts = posts.where(F.array_contains(mentions_in(F.col("text")), F.lower(U.screen_name(F.lit(to_user)))))
     if lang is not None:
         posts = posts.where(F.col("lang") == lang)
     for kind in has:
@@ -132,36 +132,64 @@ def merge_excludes(exclude: Sequence[str], profile: str | None) -> list[str]:
     return list(dict.fromkeys([*given, *noise.DEFAULT_EXCLUDES.get(profile or "", ())]))
 
 
-def search_posts(
+_FILTERS = ("since", "until", "from_user", "to_user", "lang", "min_likes", "min_retweets", "has")
+
+
+def _options(spark: SparkSession, queries: Sequence[str], profile: str | None, given: dict[str, object]) -> list[dict[str, object]]:
+    """Filters, words, exclusions and order of each query: given options win over inline tokens. One row per query text, so driver-sized."""
+    parsed = parse_inline(spark.createDataFrame([(i, q) for i, q in enumerate(queries)], "n int, query string")).orderBy("n").collect()
+    out = []
+    for row in parsed:
+        chosen = {n: given.get(n) if given.get(n) not in (None, (), []) else row[n] for n in _FILTERS}
+        exclude = merge_excludes(given.get("exclude") or (), profile) or list(row["exclude"] or ())
+        kind = given.get("search_type") or row["search_type"] or ("top" if profile in ("precision", "balanced") else "latest")
+        chosen |= {"has": chosen["has"] or (), "exclude": exclude, "min_views": given.get("min_views")}
+        out.append({"filters": chosen, "kind": str(kind).lower(), "words": row["words"].split()})
+    return out
+
+
+def search_many(
     posts: DataFrame,
-    query: str,
+    queries: Sequence[str],
     *,
     limit: int,
     profile: str | None = "balanced",
-    search_type: str | None = None,
-    exclude: Sequence[str] = (),
     order: str = "ord",
-    **filters,
+    **options,
 ) -> noise.QualityFilter:
-    """Posts for one query: structured filter, oversampled pool in result order, then the quality filter with backfill.
+    """Posts for each query text, its inline tokens applied: structured filter, a pool of its own in result order, then the quality filter with backfill.
 
-    The query's words must all occur (the backend's matching); ``top`` orders by likes, ``latest`` by time.
+    A query's words must all occur (the backend's matching). ``top`` orders by likes, ``latest`` by time, ``photos`` and ``videos`` ask for that medium.
+    Rows carry ``query_id`` (the text), ``search_rank`` (place in the pool) and ``unbounded_time_window``. Posts are read once per query for its filter
+    to reach the scan; the pools are bounded by the limit.
     """
-    found = search_filter(posts, exclude=merge_excludes(exclude, profile), **filters)
-    folded = T.casefold(F.coalesce("text", F.lit("")))
-    words = [w.casefold() for w in query.split() if ":" not in w]
-    for word in words:
-        found = found.where(F.contains(folded, F.lit(word)))
-    kind = search_type or ("top" if profile in ("precision", "balanced") else "latest")
-    if kind in ("photos", "videos"):
-        found = found.where(_has("images" if kind == "photos" else "videos"))
-    by = [F.desc(F.coalesce(metric(F.col("engagement"), "likes"), F.lit(0.0))), F.col(order)]
-    if kind != "top":
+    pools = None
+    for text, o in zip(queries, _options(posts.sparkSession, queries, profile, options), strict=True):
+        found = search_filter(posts, **o["filters"])
+        folded = T.casefold(F.coalesce("text", F.lit("")))
+        for word in o["words"]:
+            found = found.where(F.contains(folded, F.lit(word.casefold())))
+        if o["kind"] in ("photos", "videos"):
+            found = found.where(_has("images" if o["kind"] == "photos" else "videos"))
         by = [F.desc("published_ts"), F.col(order)]
-    pool = found.orderBy(*by).limit(noise.fetch_limit(limit, profile))
-    tokens = F.lit(query)
-    pool = pool.withColumns({"query_id": F.lit(query), "query_tokens": T.query_tokens(tokens)})
-    return noise.QualityFilter(pool, query="query_id", order=order, limit=limit, profile=profile)
+        if o["kind"] == "top":
+            by = [F.desc(F.coalesce(metric(F.col("engagement"), "likes"), F.lit(0.0))), F.col(order)]
+        pool = found.orderBy(*by).limit(noise.fetch_limit(limit, profile))
+        pool = pool.withColumns(
+            {
+                "query_id": F.lit(text),
+                "query_tokens": T.query_tokens(F.lit(text)),
+                "search_rank": F.row_number().over(Window.orderBy(*by)),  # over the bounded pool
+                "unbounded_time_window": F.lit(o["filters"]["since"] is None and o["filters"]["until"] is None),
+            }
+        )
+        pools = pool if pools is None else pools.unionByName(pool)
+    return noise.QualityFilter(pools, query="query_id", order="search_rank", limit=limit, profile=profile)
+
+
+def search_posts(posts: DataFrame, query: str, *, limit: int, **options) -> noise.QualityFilter:
+    """Posts for one query (see :func:`search_many`)."""
+    return search_many(posts, [query], limit=limit, **options)
 
 
 def hashtag_posts(posts: DataFrame, tag: str) -> DataFrame:
@@ -193,7 +221,7 @@ def user_posts(
         posts = posts.where(F.coalesce(F.col("timeline_item_kind") != "retweet", F.lit(True)))
     failed = noise.metric_reasons(F.col("engagement"), min_likes=min_likes, min_retweets=min_retweets, min_views=min_views)
     staged = posts.withColumn("__failed", failed.cast("array<string>"))
-    staged = tf.evaluate(staged, noise.collected_parts(), rules, ascii_only=False)
+    staged = tf.evaluate(staged, noise.collected_parts(), rules)
     reasons = F.when(F.size("__failed") > 0, F.col("__failed")).otherwise(F.col("topic_fit.drop_reasons"))
     staged = staged.withColumn("__reasons", reasons)
     drops = (
@@ -223,9 +251,11 @@ def profiles(accounts: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def threads(posts: DataFrame, requested: DataFrame) -> DataFrame:
-    """All posts of the conversations that hold the requested post ids or URLs."""
+    """All posts of the conversations that hold the requested post ids or URLs; a requested post outside any conversation is its own thread."""
     ids = requested.select(U.post_id(F.col("post")).alias("id")).distinct()
-    conversations = posts.join(ids, "id", "left_semi").select("conversation_id").distinct()
-    return posts.join(conversations, "conversation_id", "left_semi")
+    found = posts.select("id", "conversation_id").join(ids, "id", "left_semi")
+    conversations = found.where("conversation_id IS NOT NULL").select("conversation_id").distinct()
+    alone = posts.where("conversation_id IS NULL").join(ids, "id", "left_semi")
+    return posts.join(conversations, "conversation_id", "left_semi").unionByName(alone.select(posts.columns))
 
 

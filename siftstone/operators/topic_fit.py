@@ -93,7 +93,7 @@ def candidate_parts() -> list[Column]:
     return [*[F.col(n) for n in names], handle, *tail]
 
 
-def evaluate(df: DataFrame, parts: list[Column], rules: TopicRules, *, ascii_only: bool = False) -> DataFrame:
+def evaluate(df: DataFrame, parts: list[Column], rules: TopicRules) -> DataFrame:
     """Add a ``topic_fit`` struct: enabled, matched, drop and match reasons, matched terms, missing terms, bonus."""
     if not rules.enabled:
         none = F.array().cast("array<string>")
@@ -120,7 +120,7 @@ def evaluate(df: DataFrame, parts: list[Column], rules: TopicRules, *, ascii_onl
         if groups
         else F.array().cast("array<string>")
     )
-    staged = df.withColumn("__hay", T.norm_text(T.joined(*parts), ascii_only=ascii_only))
+    staged = df.withColumn("__hay", T.norm_text(T.joined(*parts)))
     staged = staged.withColumns({f"__m_{name}": col for name, col in found.items()}).drop("__hay")
     n = {name: F.size(f"__m_{name}") for name in found}
     all_terms = F.array(*[F.lit(t) for t in rules.required_all_terms]).cast("array<string>")

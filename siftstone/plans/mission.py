@@ -116,7 +116,7 @@ class Curated:
         )
 
 
-def curate_mission(items: DataFrame, mission: Mission, *, ascii_only: bool = False) -> Curated:
+def curate_mission(items: DataFrame, mission: Mission) -> Curated:
     """Run the curation over item sightings.
 
     The pool that gets ranked is the first ``3 * target_posts`` survivors in first-seen order; that bound is part of the
@@ -134,7 +134,6 @@ def curate_mission(items: DataFrame, mission: Mission, *, ascii_only: bool = Fal
         drop_title_duplicates=True,
         max_per_author=mission.max_posts_per_author,
         near_duplicates=False,  # scores are computed afresh below, so the pool's own penalties would be thrown away
-        ascii_only=ascii_only,
     )
     pool = durable(plan.returned.drop("quality_score", "quality_reasons"), "pool")
     kept, keyword_dropped = curate.drop_keywords(pool, mission.excluded_keywords)

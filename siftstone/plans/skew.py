@@ -47,7 +47,9 @@ def top_per_group(
     threshold = int(df.sparkSession.conf.get(_LIMIT_CONF, "1000"))
     if n >= threshold:
         salts = max(df.sparkSession.sparkContext.defaultParallelism, 8)
-        df = df.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
+        # descending order expressions cannot be hashed, so the salt comes from the row's columns
+        plain = [c for c in df.columns if not df.schema[c].dataType.typeName().startswith(("map", "variant"))]
+        df = df.withColumn("__salt", F.pmod(F.xxhash64(*plain), F.lit(salts)))
         first = Window.partitionBy(*keys, "__salt").orderBy(*order)
         df = df.withColumn("__rn0", F.row_number().over(first)).where(F.col("__rn0") <= n).drop("__rn0", "__salt")
     window = Window.partitionBy(*keys).orderBy(*order)

@@ -6,6 +6,7 @@ the lines. A *records* frame adds the parsed VARIANT ``rec`` and a ``state``.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,21 +28,27 @@ _META = ("intent", "query_id", "source_role")
 
 
 def read_lines(spark: SparkSession, path: str, *, exclude: str | None = None) -> DataFrame:
-    """Physical lines of one ledger file or of every ``*.jsonl`` below a folder.
+    """Physical lines of one ledger file or of every text shard below a folder (``*.jsonl``, or ``part-*`` files as written here).
 
-    Lines break on LF only, so Unicode separators inside strings stay; a trailing CR is removed.
+    Lines break on LF only, so Unicode separators inside strings stay; a trailing CR is removed. ``exclude`` is the path of one file to leave out. A
+    path that holds no shard is an error.
     """
     reader = spark.read.option("lineSep", "\n")
     if not str(path).endswith(".jsonl"):
-        reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl")
-    raw = reader.text(str(path)).select(
+        reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "{*.jsonl,part-*}")
+    found = reader.text(str(path))
+    if not found.inputFiles():
+        raise FileNotFoundError(f"no ledger shard in {path}")
+    raw = found.select(
         F.regexp_replace("value", "\r$", "").alias("value"),
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block_start"),
         F.monotonically_increasing_id().alias("seq"),
     )
     if exclude is not None:
-        raw = raw.where(~F.endswith("file", F.lit(str(exclude))))
+        whole = lambda c: F.regexp_replace(c, "^[A-Za-z][A-Za-z0-9+.-]*:/*", "/")
+        other = str(exclude) if "/" in str(exclude) else f"{str(path).rstrip('/')}/{exclude}"
+        raw = raw.where(whole(F.col("file")) != whole(F.lit(other if other.startswith("/") or ":" in other else os.path.abspath(other))))
     return raw
 
 
@@ -87,7 +94,7 @@ def parse(lines: DataFrame) -> DataFrame:
     """Parse each line. ``state`` is empty, invalid_line, not_object, invalid_record or ok; no line is lost."""
     blank = F.length(T.strip(F.col("value"))) == 0
     parsed = T.evaluate_once(lines, rec=F.try_parse_json(F.when(~blank, F.col("value"))))
-    an_object = F.startswith(F.ltrim("value"), F.lit("{"))
+    an_object = F.startswith(F.schema_of_variant("rec"), F.lit("OBJECT"))
     valid = (_get(F.col("rec"), "record_type") == "collection_result") & is_result(_get(F.col("rec"), "result", "variant"))
     state = (
         F.when(blank, F.lit("empty"))
@@ -146,6 +153,24 @@ def skipped_records(parsed: DataFrame) -> DataFrame:
     return both.agg(F.sum(F.col("n") * F.col("sign")).alias("skipped_records"))
 
 
+IDENTIFIERS = ("domain", "author_handle", "post_id", "conversation_id")
+
+
+def _identifiers(item: Column) -> Column:
+    """The item's identifiers, completed by extras of the same name."""
+    given = F.coalesce(_get(item, "identifiers", "map<string,string>"), F.create_map().cast("map<string,string>"))
+    given = F.map_filter(given, lambda _, v: v.isNotNull())
+    extra = F.array_compact(
+        F.array(
+            *[
+                F.when(_get(item, f"extras.{n}").isNotNull() & ~F.map_contains_key(given, F.lit(n)), F.struct(F.lit(n).alias("key"), _get(item, f"extras.{n}").alias("value")))
+                for n in IDENTIFIERS
+            ]
+        )
+    )
+    return F.map_concat(given, F.map_from_entries(extra))
+
+
 def items_of(records: DataFrame) -> DataFrame:
     """One row per stored item, typed, with its sighting columns and ``ord``."""
     rows = records.select("*", F.posexplode("items").alias("item_position", "item")).drop("items", "result")
@@ -183,7 +208,7 @@ def items_of(records: DataFrame) -> DataFrame:
         F.coalesce(_get(item, "media_references", f"array<{MEDIA_TYPE}>"), F.array().cast(f"array<{MEDIA_TYPE}>")).alias(
             "media_references"
         ),
-        F.coalesce(_get(item, "identifiers", "map<string,string>"), F.create_map().cast("map<string,string>")).alias("identifiers"),
+        _identifiers(item).alias("identifiers"),
         *[extra(n).alias(n) for n in ("timeline_item_kind", "author_name", "quoted_author_handle", "quoted_author_name")],
         extra("urls", "array<string>").alias("urls"),
         extra("query_tokens", "array<string>").alias("item_query_tokens"),
@@ -243,25 +268,9 @@ def append_records(records: DataFrame, path: str, *, shard_by: Sequence[str] = (
     writer = lines.write.mode("append").option("lineSep", "\n")
     if shard_by:
         writer = writer.partitionBy(*[f"shard_{c}" for c in shard_by])
-    # Spark names text files *.txt; readers of this library take either spelling through read_shards
     writer.text(path)
 
 
-def read_shards(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of a folder written by :func:`append_records`."""
-    return (
-        spark.read.option("lineSep", "\n")
-        .option("recursiveFileLookup", "true")
-        .text(path)
-        .select(
-            "value",
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block_start"),
-            F.monotonically_increasing_id().alias("seq"),
-        )
-    )
-
-
 def append_results(spark: SparkSession, results_path: str, out_path: str, run_id: str) -> DataFrame:
     """Wrap saved result documents (one JSON object per file) as ledger records and append them. Returns the rejected files."""
     docs = (
@@ -311,11 +320,18 @@ def write_jsonl(df: DataFrame, path: str, order: str | None = None) -> None:
 # ---- reports -----------------------------------------------------------------------------------------------------
 
 
+def _context(parsed: DataFrame, paths: Sequence[str]):
+    """Where a path starts: ``source.file`` and ``source.line`` at the line's provenance, everything else at the record."""
+    source = F.to_variant_object(F.struct(F.struct(*[c for c in ("file", "line") if c in parsed.columns]).alias("source")))
+    return lambda path: source if path.strip().startswith("source.") else F.col("rec")
+
+
 def _record_columns(parsed: DataFrame, filters: Sequence[str]) -> DataFrame:
     rec = F.col("rec")
     ok = parsed.where("state = 'ok'")
-    if filters:
-        ok = ok.where(filter_column(rec, filters))
+    pick = _context(parsed, filters)
+    for expression in filters:
+        ok = ok.where(filter_column(pick(expression), [expression]))
     result = _get(rec, "result", "variant")
     meta = lambda n, d="string": _get(rec, f"result.meta.{n}", d)
     note = lambda n: F.coalesce(_get(rec, n), meta(n))
@@ -418,16 +434,31 @@ def health(parsed: DataFrame, *, filters: Sequence[str] = (), require_metadata:
     )
     from_lines = parsed.select(F.lit("total").alias("section"), line_key.alias("key"), F.lit(1).cast("long").alias("n"))
     counts = from_records.unionByName(from_lines).groupBy("section", "key").agg(F.sum("n").alias("count"))
-    if not require_metadata:
-        return counts
-    bad = counts.where("(key IN ('invalid_lines','invalid_records')) OR (section = 'missing_metadata' AND key = 'records')")
-    verdict = bad.agg((F.coalesce(F.sum("count"), F.lit(0)) == 0).cast("long").alias("count"))
-    return counts.unionByName(verdict.select(F.lit("total").alias("section"), F.lit("valid").alias("key"), "count"))
+    files = parsed.agg(F.count_distinct("file").cast("long").alias("count")).select(F.lit("total").alias("section"), F.lit("files_checked").alias("key"), "count")
+    broken = (F.col("section") == "total") & F.col("key").isin("invalid_lines", "invalid_records")
+    if require_metadata:
+        broken = broken | (F.col("section") == "missing_metadata") & (F.col("key") == "records")
+    verdict = counts.agg((F.coalesce(F.sum(F.when(broken, F.col("count"))), F.lit(0)) == 0).cast("long").alias("count"))
+    return counts.unionByName(files).unionByName(verdict.select(F.lit("total").alias("section"), F.lit("valid").alias("key"), "count"))
 
 
 def summary(parsed: DataFrame, filters: Sequence[str] = ()) -> DataFrame:
-    """Health without the diagnostics-only rows."""
-    return health(parsed, filters=filters).where(~F.col("key").isin("large_text_fields", "large_raw_payloads", "empty_lines"))
+    """Health without the diagnostics-only totals."""
+    diagnostic = (F.col("section") == "total") & F.col("key").isin("large_text_fields", "large_raw_payloads", "empty_lines", "files_checked")
+    return health(parsed, filters=filters).where(~diagnostic)
+
+
+def query_totals(parsed: DataFrame, filters: Sequence[str] = ()) -> DataFrame:
+    """One row for a query: records scanned, records that match, invalid lines."""
+    pick = _context(parsed, filters)
+    match = F.col("state").isin("ok", "invalid_record")
+    for expression in filters:
+        match = match & filter_column(pick(expression), [expression])
+    return parsed.agg(
+        F.count_if(F.col("state").isin("ok", "invalid_record")).alias("scanned_records"),
+        F.count_if(F.coalesce(match, F.lit(False))).alias("matched_records"),
+        F.count_if(F.col("state") == "invalid_line").alias("invalid_lines"),
+    )
 
 
 def health_samples(parsed: DataFrame, n: int = SAMPLE_LIMIT) -> DataFrame:
@@ -454,12 +485,7 @@ def query(
     Paths below ``source`` reach the record's ``file`` and ``line``; those need :func:`with_line_numbers` first.
     """
     found = objects(parsed)
-    if any(f.strip().startswith("source.") for f in filters) or any(str(f).startswith("source.") for f in fields or ()):
-        context = F.to_variant_object(F.struct(F.struct(*[c for c in ("file", "line") if c in parsed.columns]).alias("source")))
-        found = found.withColumn("__ctx", context)
-        pick = lambda p: F.col("__ctx") if p.strip().startswith("source.") else F.col("rec")
-    else:
-        pick = lambda p: F.col("rec")
+    pick = _context(parsed, [*filters, *(fields or ())])
     for expression in filters:
         found = found.where(filter_column(pick(expression), [expression]))
     if limit is not None:

@@ -37,13 +37,13 @@ def canonical_stream(lines: DataFrame) -> DataFrame:
     return rows.withColumn("item", F.to_json("item"))
 
 
-def scored_stream(items: DataFrame, rules: tf.TopicRules = tf.TopicRules(), *, ascii_only: bool = False) -> DataFrame:
+def scored_stream(items: DataFrame, rules: tf.TopicRules = tf.TopicRules()) -> DataFrame:
     """Noise reasons, topic fit and score of each arriving item (stateless, append)."""
     staged = items.withColumn(
         "drop_reasons",
         noise.noise_reasons(text=F.coalesce("text", "title"), urls=F.col("urls"), kind=F.col("timeline_item_kind"), drop_low_content=True),
     )
-    staged = tf.evaluate(staged, tf.candidate_parts(), rules, ascii_only=ascii_only)
+    staged = tf.evaluate(staged, tf.candidate_parts(), rules)
     return score.score(score.with_query_hits(staged))
 
 
@@ -105,10 +105,13 @@ def rolling_author_cap(items: DataFrame, cap: int, *, author: str = "author", or
         before = (
             spark.read.schema(counts).parquet(f"{base}/counts/{number - 1}") if number else spark.createDataFrame([], counts)
         )
-        heads = top_per_group(batch, [author], [F.col(order)], cap, "__k").join(before, author, "left")
+        named = batch.where(F.col(author).isNotNull())
+        heads = top_per_group(named, [author], [F.col(order)], cap, "__k").join(before, author, "left")
         room = F.lit(cap) - F.coalesce("used", F.lit(0))
-        heads.where(F.col("__k") <= room).select(*items.columns).write.mode("overwrite").parquet(f"{base}/out/b={number}")
-        kept = spark.read.schema(items.schema).parquet(f"{base}/out/b={number}")
+        within = heads.where(F.col("__k") <= room).select(*items.columns)
+        # rows without an author are never capped
+        within.unionByName(batch.where(F.col(author).isNull())).write.mode("overwrite").parquet(f"{base}/out/b={number}")
+        kept = spark.read.schema(items.schema).parquet(f"{base}/out/b={number}").where(F.col(author).isNotNull())
         added = kept.groupBy(author).agg(F.count(F.lit(1)).alias("used"))
         after = before.unionByName(added).groupBy(author).agg(F.sum("used").cast("bigint").alias("used"))
         after.write.mode("overwrite").parquet(f"{base}/counts/{number}")

@@ -207,5 +207,5 @@ def test_ledger_file_round_trip(spark, tmp_path):
     with pytest.raises(ValueError):
         ledger.check_strict(parsed)
     ledger.merge(lines, str(tmp_path / "merged"))
-    merged = ledger.read_shards(spark, str(tmp_path / "merged")).select("value").collect()
+    merged = ledger.read_lines(spark, str(tmp_path / "merged")).select("value").collect()
     assert len(merged) == 5 and not any(sep in r["value"] for r in merged)
