@@ -22,8 +22,8 @@ from siftstone.llm.words import Words, as_bytes, blocks, mix, shingles, words
 from siftstone.plans.skew import durable
 
 WINDOW, MINI = 13, 3
-#: bytes of packed strings a bucket is laid out for, and the least number of buckets before it grows
-BUCKET_BYTES, MAX_BUCKETS = 12 << 20, 50_000
+#: bytes of packed strings a bucket is laid out for, the number of buckets from which they grow instead, and the least weight of a heavy minimiser
+BUCKET_BYTES, MAX_BUCKETS, LEAST_HEAVY = 12 << 20, 50_000, 1 << 20
 SAMPLE = 1 / 16
 _U = np.uint64
 
@@ -86,7 +86,9 @@ def _weigh_task(k: int, m: int):
     return run
 
 
-def _pack_task(k: int, m: int, heavy: np.ndarray):
+def _pack_task(k: int, m: int, heavy: np.ndarray, keys: int):
+    """Packed strings by bucket key; those of one block of texts for one key are one compressed row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch):
@@ -106,28 +108,39 @@ def _pack_task(k: int, m: int, heavy: np.ndarray):
                 lo, hi = begin[a].tolist(), (begin[a + length + k - 1] - 1).tolist()
                 doc = w.text_of_word()[a]
                 ids = part.column(part.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(bucket.view(np.int64)),
-                        pa.array(ids[doc].astype(np.int64)),
-                        pa.array((a - w.first[doc]).astype(np.int32)),
-                        pa.array([text[x:y] for x, y in zip(lo, hi, strict=True)], pa.binary()),
-                    ],
-                    ["bucket", "doc_id", "start", "packed"],
-                )
+                ids, start = ids[doc].astype(np.int64), (a - w.first[doc]).astype(np.int32)
+                key = (bucket % _U(keys)).astype(np.int32)
+                order = np.argsort(key, kind="stable")
+                cuts = np.flatnonzero(np.diff(key[order])) + 1
+                rows = [[], [], []]
+                for some in np.split(order, cuts):
+                    strings = [text[lo[i] : hi[i]] for i in some.tolist()]
+                    size = np.fromiter(map(len, strings), np.int32, len(strings))
+                    raw = b"".join([np.int32(len(some)).tobytes(), ids[some].tobytes(), start[some].tobytes(), size.tobytes(), *strings])
+                    for into, value in zip(rows, (int(key[some[0]]), len(raw), pa.compress(raw, codec="zstd", asbytes=True)), strict=True):
+                        into.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.binary())], ["bucket", "size", "packed"])
 
     return run
 
 
+def _unpacked(size: int, packed: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    raw = pa.decompress(packed, size, codec="zstd", asbytes=True)
+    n = int(np.frombuffer(raw, np.int32, 1)[0])
+    ids = np.frombuffer(raw, np.int64, n, 4)
+    start, length = np.frombuffer(raw, np.int32, 2 * n, 4 + 8 * n).reshape(2, n)
+    end = np.cumsum(length) + (4 + 16 * n)
+    return ids, start, [raw[x:y] for x, y in zip((end - length).tolist(), end.tolist(), strict=True)]
+
+
 def _mark_task(k: int):
     """All of one bucket partition: windows repeated from a smaller id, as (doc_id, start, stop) word ranges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h1, h2, doc, pos = [], [], [], []
         for batch in batches:
-            for part in blocks(batch, "packed"):
-                packed = part.column(2).to_pylist()
-                ids, start = part.column(0).to_numpy(), part.column(1).to_numpy()
+            for size, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids, start, packed = _unpacked(size, row)
                 for seed, into in ((0, h1), (5, h2)):
                     w = words(packed, seed=seed)
                     h, at = shingles(w, k)
@@ -194,12 +207,13 @@ def repeated_ranges(docs: DataFrame, k: int = WINDOW, m: int = MINI) -> DataFram
     shipped = 3 * total  # a string of r windows carries r + k - 1 words, about r = (k - m) / 2 + 1 of which are new
     buckets = int(min(max(shipped // BUCKET_BYTES, 1), MAX_BUCKETS))
     buckets = max(buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    share = max(shipped // (4 * buckets), 1 << 20)
+    share = max(shipped // (4 * buckets), LEAST_HEAVY)
     # there are no more than 4 x buckets minimisers of that weight
     weights = docs.sample(SAMPLE, 1).mapInArrow(_weigh_task(k, m), "mini long, bytes long").groupBy("mini").agg(F.sum("bytes").alias("bytes"))
     heavy = [r["mini"] for r in weights.where(F.col("bytes") > F.lit(share * SAMPLE)).select("mini").collect()]
-    packs = docs.mapInArrow(_pack_task(k, m, np.array(sorted(heavy), np.int64).view(np.uint64)), "bucket long, doc_id long, start int, packed binary")
-    return packs.repartition(buckets, "bucket").select("doc_id", "start", "packed").mapInArrow(_mark_task(k), "doc_id long, start int, stop int")
+    keys = 4 * buckets
+    packs = docs.mapInArrow(_pack_task(k, m, np.array(sorted(heavy), np.int64).view(np.uint64), keys), "bucket int, size long, packed binary")
+    return packs.repartition(buckets, "bucket").select("size", "packed").mapInArrow(_mark_task(k), "doc_id long, start int, stop int")
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = WINDOW, m: int = MINI) -> DataFrame:
