@@ -150,7 +150,13 @@ def diversity_one_cap(t):
     return curate.apply_diversity(_ranked(t), {"author_diversity": 3})[0].select("rank", "ord")
 
 
-@query("diversity_three_caps")
+@query("diversity_three_caps", f"""WITH RECURSIVE {_RANK_SQL},
+k AS (SELECT CAST(rank AS BIGINT) AS rank, ord, lower(author) AS a, lower(conversation_id) AS c, lower(rtrim(split_part(url, '#', 1), '/')) AS u FROM ranked),
+walk(place, kept, outcome) AS (SELECT CAST(0 AS BIGINT), CAST([] AS STRUCT(a VARCHAR, c VARCHAR, u VARCHAR)[]), '' UNION ALL
+ SELECT rank, CASE WHEN outcome = 'kept' THEN list_append(kept, {{'a': a, 'c': c, 'u': u}}) ELSE kept END, outcome FROM (
+  SELECT k.*, kept, CASE WHEN len(list_filter(kept, lambda x: x.a = k.a)) >= 12 THEN 'author_diversity' WHEN len(list_filter(kept, lambda x: x.c = k.c)) >= 3 THEN 'thread_diversity'
+   WHEN len(list_filter(kept, lambda x: x.u = k.u)) >= 1 THEN 'url_diversity' ELSE 'kept' END AS outcome FROM walk w JOIN k ON k.rank = w.place + 1))
+SELECT k.rank, k.ord, outcome FROM walk JOIN k ON k.rank = walk.place""")
 def diversity_three_caps(t):
     kept, dropped = curate.apply_diversity(_ranked(t), {"author_diversity": 12, "thread_diversity": 3, "url_diversity": 1})
     return kept.select("rank", "ord", F.lit("kept").alias("outcome")).unionByName(dropped.select("rank", "ord", F.col("reason").alias("outcome")))
@@ -270,24 +276,42 @@ def query_expansion(t):
 
 
 
-@query("topic_spread", f"""WITH {_RANK_SQL}, h AS (SELECT *, {fold("concat(title, ' ', text, ' ', author)")} AS h FROM ranked),
+_SPREAD_SQL = f"""WITH {_RANK_SQL}, h AS (SELECT *, {fold("concat(title, ' ', text, ' ', author)")} AS h FROM ranked),
 f AS (SELECT *, contains(h, 'pricing') OR contains(h, 'coupon') AS a, contains(h, 'latency') OR contains(h, 'baseline') AS b, contains(h, 'codex') AS c FROM h),
 p1 AS (SELECT rank, b AS has_b, c AS has_c FROM f WHERE a ORDER BY rank LIMIT 1),
 p2 AS (SELECT rank, c AS has_c FROM f WHERE b AND NOT (SELECT has_b FROM p1) ORDER BY rank LIMIT 1),
 p3 AS (SELECT rank FROM f WHERE c AND NOT (SELECT has_c FROM p1) AND NOT coalesce((SELECT has_c FROM p2), false) ORDER BY rank LIMIT 1),
 tops AS (SELECT rank, 1 AS g FROM p1 UNION ALL SELECT rank, 2 FROM p2 UNION ALL SELECT rank, 3 FROM p3),
-rest AS (SELECT rank, 4 AS g FROM f WHERE rank NOT IN (SELECT rank FROM tops) ORDER BY rank LIMIT 12)
-SELECT row_number() OVER (ORDER BY g, rank) AS position, rank FROM (SELECT * FROM tops UNION ALL SELECT * FROM rest) QUALIFY position <= 12""")
+rest AS (SELECT rank, 4 AS g FROM f WHERE rank NOT IN (SELECT rank FROM tops) ORDER BY rank LIMIT 12)"""
+_SPREAD_PICK = "SELECT row_number() OVER (ORDER BY g, rank) AS position, rank FROM (SELECT * FROM tops UNION ALL SELECT * FROM rest) QUALIFY position <= 12"
+
+
+@query("topic_spread", f"""{_SPREAD_SQL} {_SPREAD_PICK}""")
 def topic_spread(t):
     ranked = coverage.annotate(_ranked(t), TOPICS)
     chosen, _ = curate.topic_spread(ranked, [x.topic_id for x in TOPICS], 12)
     return chosen.select(F.col("position").cast("bigint").alias("position"), "rank")
 
 
-@query("topic_spread_status")
+_TOPIC_NAMES = "list_filter([CASE WHEN bool_or(a) THEN 'pricing' END, CASE WHEN bool_or(b) THEN 'bench' END, CASE WHEN bool_or(c) THEN 'agents' END], lambda v: v IS NOT NULL)"
+
+
+@query("topic_spread_status", f"""{_SPREAD_SQL}, chosen AS ({_SPREAD_PICK}), s AS (SELECT chosen.position, f.* FROM chosen JOIN f USING (rank)),
+x AS (SELECT {_TOPIC_NAMES} AS avail FROM f), y AS (SELECT {_TOPIC_NAMES} AS got, bool_or(position <> rank) AS moved, count(*) FILTER (rank > 12) AS promoted FROM s)
+SELECT CASE WHEN len(got) < least(len(avail), 12) THEN 'applied_partial' WHEN moved THEN 'applied' ELSE 'already_satisfied' END AS status, len(avail) AS available_topic_count,
+ array_to_string(got, ',') AS selected, array_to_string(list_filter(['pricing', 'bench', 'agents', 'none'], lambda v: NOT list_contains(avail, v)), ',') AS unavailable,
+ array_to_string(list_filter(avail, lambda v: NOT list_contains(got, v)), ',') AS unselected, promoted AS promoted_count, moved AS reordered FROM x, y""")
 def topic_spread_status(t):
     ranked = coverage.annotate(_ranked(t), TOPICS)
-    return curate.topic_spread(ranked, [x.topic_id for x in TOPICS], 12)[1]
+    status = curate.topic_spread(ranked, [x.topic_id for x in TOPICS], 12)[1]
+    names = {"selected": "selected_topic_ids", "unavailable": "unavailable_topic_ids", "unselected": "unselected_available_topic_ids"}
+    return status.select(
+        "status",
+        F.col("available_topic_count").cast("bigint").alias("available_topic_count"),
+        *[F.array_join(column, ",").alias(name) for name, column in names.items()],
+        F.col("promoted_count").cast("bigint").alias("promoted_count"),
+        "reordered",
+    )
 
 
 # ---- judge -------------------------------------------------------------------------------------------------------
