@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siftstone.llm import chat, mixing
+from siftstone.llm import chat, mixing, oracles
 from siftstone.llm.decontam import contained_items
 from siftstone.llm.html_template import extract_main_text
 from siftstone.llm.near import near_duplicates
@@ -16,12 +16,12 @@ from siftstone.llm.topk import exact_top_k, quantised
 from siftstone.llm.toxicity import score_toxicity
 
 
-@register("op1_benchmark_decontamination")
+@register("op1_benchmark_decontamination", oracles.CONTAINED)
 def op1(spark, sf_dir):
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-@register("op2_minhash_near_dedup")
+@register("op2_minhash_near_dedup", oracles.NEAR)
 def op2(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
 
@@ -41,7 +41,7 @@ def op3(spark, sf_dir):
     )
 
 
-@register("op8_substring_superkmer")
+@register("op8_substring_superkmer", oracles.REPEATS)
 def op8(spark, sf_dir):
     cut = remove_repeats(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
