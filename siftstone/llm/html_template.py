@@ -46,44 +46,47 @@ OUTSIDE_WORDS = frozenset(
     "subscribe signup menu nav navbar navigation breadcrumb breadcrumbs sidebar footer header masthead comment comments respond disqus social share sharing "
     "related recommended pagination pager widget toolbar login search".split()
 )
+#: elements that are never outside by their name, and those of them that an element left open above does not put outside either
+CORE, OUTER = frozenset("html body main article".split()), frozenset("html body main".split())
+#: all that a head can hold; anything else ends one that is left open
+HEAD = frozenset("base basefont bgsound link meta title script style noscript template".split())
 OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 SHARE = 0.5  # of a host's pages a template role occurs on
+MOST = 0.5  # of a page's text above which an element is not outside by its name
 DOMINANT = 0.5  # of the open text of a container that one child must hold for the descent to go on
 
 
-def _named(tag: str, attrs: str) -> tuple[str, bool]:
-    """Role name of an element, and whether it holds no main text by its name."""
+def _named(tag: str, attrs: str) -> tuple[str, bool, bool]:
+    """Role name of an element, whether it holds no main text by its tag, and whether it seems to hold none by its attributes (or as a form)."""
+    hard, soft = tag in OUTSIDE and tag != "form", tag == "form"
     if not attrs or "=" not in attrs and "hidden" not in attrs:
-        return tag, tag in OUTSIDE
-    name, outside = tag, tag in OUTSIDE
+        return tag, hard, soft
+    name = tag
     for key, a, b, c in _ATTR.findall(attrs):
         key, value = key.lower(), a or b or c
         if key in ("class", "id"):
             name += ("." if key == "class" else "#") + re.sub(r"\d+", "", " ".join(sorted(value.split())))
-            outside = outside or any(w.lower() in OUTSIDE_WORDS for w in _WORD.findall(value))
+            soft = soft or any(w.lower() in OUTSIDE_WORDS for w in _WORD.findall(value))
         elif key == "role":
-            outside = outside or value.lower() in OUTSIDE_ROLES
+            soft = soft or value.lower() in OUTSIDE_ROLES
         elif key == "hidden":
-            outside = True
-    return name, outside
+            soft = True
+    return name, hard, soft and tag not in CORE
 
 
-def walk(page: str) -> tuple[dict[str, list[int]], list[tuple[str, bool, str]]]:
-    """Roles of a page as role: [occurrences, open text below, named as outside], and its text pieces as (role, outside, text); a break is an empty piece."""
-    roles: dict[str, list[int]] = {}
-    pieces: list[tuple[str, bool, str]] = []
-    stack: list[tuple[str, str, bool]] = [("", "", False)]  # tag, role, outside
+def _parse(page: str) -> tuple[list[tuple[str, str, int, bool, bool]], list[tuple[int, str]]]:
+    """Elements of a page as (tag, role, element above, outside by tag, outside by name), the first being the page, and its text as (element, text); a break is empty."""
+    elements: list[tuple[str, str, int, bool, bool]] = [("", "", -1, False, False)]
+    pieces: list[tuple[int, str]] = []
+    stack = [0]
     at, n = 0, len(page)
 
     def say(text: str) -> None:
         if text:
-            _, role, outside = stack[-1]
-            pieces.append((role, outside, text))
-            if not outside:
-                size = len(text.strip())
-                for _, above, _ in stack[1:]:
-                    roles[above][1] += size
+            if elements[stack[-1]][0] == "head" and text.strip():
+                stack.pop()
+            pieces.append((stack[-1], text))
 
     while at < n:
         m = _TOKEN.search(page, at)
@@ -101,29 +104,70 @@ def walk(page: str) -> tuple[dict[str, list[int]], list[tuple[str, bool, str]]]:
         attrs = m["attrs"] if m["tag"] else m["attrs2"]
         if m["end"] or m["end2"]:
             if tag not in INLINE:
-                pieces.append(("", False, ""))
-                depth = next((d for d in range(len(stack) - 1, 0, -1) if stack[d][0] == tag), 0)
+                pieces.append((stack[-1], ""))
+                depth = next((d for d in range(len(stack) - 1, 0, -1) if elements[stack[d]][0] == tag), 0)
                 if depth:
                     del stack[depth:]
             continue
+        if elements[stack[-1]][0] == "head" and tag not in HEAD:
+            stack.pop()
+        if tag == "body":
+            depth = next((d for d in range(len(stack) - 1, 0, -1) if elements[stack[d]][0] == "head"), 0)
+            if depth:
+                del stack[depth:]
         if tag in INLINE:
             continue
-        pieces.append(("", False, ""))
+        pieces.append((stack[-1], ""))
         if tag in VOID:
             continue
-        if tag in PARAGRAPH and stack[-1][0] == "p" or tag in ("li", "dt", "dd", "tr", "td", "th") and stack[-1][0] == tag:
+        top = elements[stack[-1]][0]
+        if tag in PARAGRAPH and top == "p" or tag in ("li", "dt", "dd", "tr", "td", "th") and top == tag:
             stack.pop()
-        name, outside = _named(tag, attrs)
-        role = f"{stack[-1][1]}/{name}"
-        outside = outside or stack[-1][2]
-        entry = roles.setdefault(role, [0, 0, int(outside)])
-        entry[0] += 1
+        name, hard, soft = _named(tag, attrs)
+        elements.append((tag, f"{elements[stack[-1]][1]}/{name}", stack[-1], hard, soft))
         if tag in RAW:
             close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = close.end() if close else n
             continue
-        stack.append((tag, role, outside))
-    return roles, pieces
+        stack.append(len(elements) - 1)
+    return elements, pieces
+
+
+def walk(page: str, opened: frozenset[str] | set[str] = frozenset()) -> tuple[dict[str, list[int]], list[tuple[str, bool, str]]]:
+    """Roles of a page as role: [occurrences, open text below, named as outside], and its text pieces as (role, outside, text); a break is an empty piece.
+
+    A name does not put an element outside that holds a main element or more than MOST of the page's text, nor one whose role is in ``opened``.
+    """
+    elements, found = _parse(page)
+    n = len(elements)
+    own, main = [0] * n, [e[0] == "main" for e in elements]
+    for e, text in found:
+        own[e] += len(text.strip())
+    size, shut = own[:], [False] * n  # text below, and whether a tag closes it
+    for e in range(1, n):
+        tag, _, above, hard, _ = elements[e]
+        shut[e] = tag not in OUTER and (hard or shut[above])
+        if shut[e]:
+            size[e] = 0
+    for e in range(n - 1, 0, -1):
+        above = elements[e][2]
+        size[above] += size[e]
+        main[above] = main[above] or main[e]
+    outside = [False] * n
+    for e in range(1, n):
+        tag, role, above, hard, soft = elements[e]
+        named = soft and not main[e] and size[e] <= MOST * size[0] and role not in opened
+        outside[e] = tag not in OUTER and (hard or named or outside[above])
+    below = [0 if out else x for x, out in zip(own, outside, strict=True)]
+    for e in range(n - 1, 0, -1):
+        below[elements[e][2]] += below[e]
+    roles: dict[str, list[int]] = {}
+    for e in range(1, n):
+        entry = roles.setdefault(elements[e][1], [0, 0, int(outside[e])])
+        entry[0] += 1
+        entry[1] += below[e]
+        entry[2] = min(entry[2], int(outside[e]))
+    return roles, [(elements[e][1], outside[e], text) for e, text in found]
 
 
 def template(roles: dict[str, tuple]) -> tuple[set[str], str]:
@@ -165,8 +209,8 @@ def _role_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, host, page in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             mark = xxhash.xxh64_intdigest(str(key))
             for role, (count, size, outside) in walk(page or "")[0].items():
-                s = found.setdefault((host, role), [0, 0, 0, 0, 0, outside])
-                for i, v in enumerate((1, count, size, (mark & 0x7FFFFFFF) * count, (mark >> 33) * count)):
+                s = found.setdefault((host, role), [0] * 6)
+                for i, v in enumerate((1, count, size, (mark & 0x7FFFFFFF) * count, (mark >> 33) * count, outside)):
                     s[i] += v
         cols = list(zip(*[(*k, *v) for k, v in found.items()], strict=True)) or [[]] * 8
         types = [pa.string(), pa.string(), *[pa.int64()] * 6]
@@ -175,22 +219,27 @@ def _role_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _deduce_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        slots, kept = [], []
+        slots, kept, opened = [], [], []
         for rows in batch.column(1).to_pylist():
-            valid, slot = template({r["role"]: ((r["pages"], r["f1"], r["f2"]), r["occurs"], r["pages"], r["open"], r["outside"]) for r in rows})
+            # a role is outside where at least half of its pages have it so; where fewer have, all pages are read with it open
+            out = {r["role"]: 2 * r["outside"] >= r["pages"] for r in rows}
+            valid, slot = template({r["role"]: ((r["pages"], r["f1"], r["f2"]), r["occurs"], r["pages"], r["open"], out[r["role"]]) for r in rows})
             slots.append(slot)
             kept.append(sorted(valid))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(slots, pa.string()), pa.array(kept, pa.list_(pa.string()))], ["host", "slot", "roles"])
+            opened.append(sorted({r["role"] for r in rows if r["outside"] and not out[r["role"]]} | {slot}))
+        lists = pa.list_(pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(slots, pa.string()), pa.array(kept, lists), pa.array(opened, lists)], ["host", "slot", "roles", "opened"])
 
 
 def _extract_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in blocks(batch, "html"):
             texts, slots = [], []
-            for page, slot in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                roles, pieces = walk(page or "")
+            for page, slot, opened in zip(*(part.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+                roles, pieces = walk(page or "", frozenset(opened or ()))
                 if slot is None or slot not in roles:
                     # no template of the host fits: the page's own roles are all there is
+                    roles, pieces = walk(page or "")
                     slot = template({r: ((c,), c, 1, size, out) for r, (c, size, out) in roles.items()})[1]
                 texts.append(main_text(pieces, slot))
                 slots.append(slot)
@@ -202,16 +251,16 @@ def host_of(url: Column) -> Column:
 
 
 def templates(pages: DataFrame, share: float = SHARE) -> DataFrame:
-    """(host, slot, roles) of every host with at least two pages; ``pages`` has page_id, url, html."""
+    """(host, slot, roles, opened) of every host with at least two pages; ``pages`` has page_id, url, html."""
     rows = pages.select(F.col("page_id").cast("string").alias("page_id"), host_of(F.col("url")).alias("host"), "html")
     found = rows.mapInArrow(_role_task, "host string, role string, pages long, occurs long, open long, f1 long, f2 long, outside long")
     sums = [F.sum(c).alias(c) for c in ("pages", "occurs", "open", "f1", "f2")]
-    roles = durable(found.groupBy("host", "role").agg(*sums, F.max("outside").alias("outside")), "roles")
+    roles = durable(found.groupBy("host", "role").agg(*sums, F.sum("outside").alias("outside")), "roles")
     total = roles.groupBy("host").agg(F.max("pages").alias("most")).where("most > 1")
     common = roles.join(total, "host").where(F.col("pages") >= F.col("most") * share)
     # a host's template has no more roles than pages have on average, divided by the share
     sets = common.groupBy("host").agg(F.collect_list(F.struct("role", "pages", "occurs", "open", "f1", "f2", "outside")).alias("found"))
-    return durable(sets.mapInArrow(_deduce_task, "host string, slot string, roles array<string>"), "templates")
+    return durable(sets.mapInArrow(_deduce_task, "host string, slot string, roles array<string>, opened array<string>"), "templates")
 
 
 def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -222,8 +271,8 @@ def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str
     columns are ignored; an empty table gives no rows.
     """
     narrow = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    slots = templates(narrow).select("host", "slot")
+    slots = templates(narrow).select("host", "slot", "opened")
     # Spark broadcasts the slots while their written size is small and otherwise shuffles, splitting hot hosts
-    rows = narrow.withColumn("__host", host_of(F.col("url"))).join(slots, F.col("__host") == F.col("host"), "left").select("page_id", "url", "html", "slot")
+    rows = narrow.withColumn("__host", host_of(F.col("url"))).join(slots, F.col("__host") == F.col("host"), "left").select("page_id", "url", "html", "slot", "opened")
     id_type = narrow.schema["page_id"].dataType.simpleString()
     return rows.mapInArrow(_extract_task, f"page_id {id_type}, url string, text string, slot string")

@@ -240,3 +240,23 @@ def test_pipeline_stages(spark, tables, tmp_path):
     assert len(ids) == len(set(ids))
     whole = {(r["doc_id"], r["shard"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert whole == {(r["doc_id"], r["shard"]) for r in step.collect()}
+
+
+def test_pages_are_not_lost_by_names(spark):
+    long = "<h1>Head</h1><p>" + "text " * 20 + "</p>"
+    bodies = [
+        f"<head><title>T</title></head><body class='home has-sidebar'><nav>Menu</nav>{long}</body>",
+        f"<head><title>T</title></head><body><main class='no-comments'>{long}</main></body>",
+        f"<head><title>T</title></head><body><article class='related-post'>{long}</article></body>",
+        f"<head><title>T</title><meta name=x><body>{long}",
+        f"<body><div class='page with-sidebar'>{long}<div class='sidebar'>Side</div></div></body>",
+        f"<body><form id='aspnetForm'>{long}</form></body>",
+        f"<body><nav>Menu<main>{long}</main></body>",
+    ]
+    rows = [(10 * n + i, f"http://h{n}.example/{i}" if i < 3 else f"http://lone{n}.example/", f"<html>{b}</html>") for n, b in enumerate(bodies) for i in range(4)]
+    # on one page of the host the wrapper holds less than half of the text
+    rows.append((90, "http://h4.example/short", "<html><body><div>" + "title " * 9 + "</div><div class='page with-sidebar'><h1>Short</h1></div></body></html>"))
+    got = {r["page_id"]: r["text"] for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = "Head " + " ".join(["text"] * 20)
+    assert {i: t for i, t in got.items() if i != 90 and t != want} == {}
+    assert "Short" in got[90]
