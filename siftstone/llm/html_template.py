@@ -3,10 +3,10 @@
 Elements of all pages of a host are differentiated by their role: the path of block elements above them with their classes and ids, digits left out. Over the
 host's pages every role has an occurrence vector. Roles with the same vector form an equivalence class. A class that reaches enough pages is
 valid when the roles directly above its members lie in one other class (or in itself), so that valid classes nest into the host's template.
-What the template leaves open are its slots; the main slot is found by descending from the body into the once-per-page container that holds most
-of the open text, past roles that are menus, forms or notices by name. A page's text is what its main slot holds.
+What the template leaves open are its slots; the main slot is found by descending from the body into the once-per-page container that holds all
+of the open text but what is equal on the host's pages, past roles that are menus, forms or notices by name. A page's text is what its main slot holds.
 
-Vectors are compared by two order-free fingerprints summed over pages, so a host of any size costs one row per role and task before the shuffle, and
+Vectors are compared by two order-free fingerprints summed over pages, texts by the least and the greatest fingerprint, so a host of any size costs one row per role and task before the shuffle, and
 a template holds only roles that at least half the host's pages share.
 """
 
@@ -54,7 +54,6 @@ OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search fo
 
 SHARE = 0.5  # of a host's pages a template role occurs on
 MOST = 0.5  # of a page's text above which an element is not outside by its name
-DOMINANT = 0.5  # of the open text of a container that one child must hold for the descent to go on
 
 
 def _named(tag: str, attrs: str) -> tuple[str, bool, bool]:
@@ -134,15 +133,24 @@ def _parse(page: str) -> tuple[list[tuple[str, str, int, bool, bool]], list[tupl
 
 
 def walk(page: str, opened: frozenset[str] | set[str] = frozenset()) -> tuple[dict[str, list[int]], list[tuple[str, bool, str]]]:
-    """Roles of a page as role: [occurrences, open text below, named as outside], and its text pieces as (role, outside, text); a break is an empty piece.
+    """Roles of a page as role: [occurrences, open text below, named as outside], and its text pieces as (role, outside, text); a break is an empty piece."""
+    roles, pieces = _walk(page, opened)
+    return {r: v[:3] for r, v in roles.items() if r}, pieces
+
+
+def _walk(page: str, opened: frozenset[str] | set[str] = frozenset()) -> tuple[dict[str, list[int]], list[tuple[str, bool, str]]]:
+    """As :func:`walk`, with a fingerprint of the open text below each role, and "" as the role of a page that holds anything.
 
     A name does not put an element outside that holds a main element or more than MOST of the page's text, nor one whose role is in ``opened``.
     """
     elements, found = _parse(page)
     n = len(elements)
-    own, main = [0] * n, [e[0] == "main" for e in elements]
+    own, print_ = [0] * n, [0] * n
+    main = [e[0] == "main" for e in elements]
     for e, text in found:
-        own[e] += len(text.strip())
+        if text := text.strip():
+            own[e] += len(text)
+            print_[e] += xxhash.xxh64_intdigest(text)
     size, shut = own[:], [False] * n  # text below, and whether a tag closes it
     for e in range(1, n):
         tag, _, above, hard, _ = elements[e]
@@ -159,19 +167,26 @@ def walk(page: str, opened: frozenset[str] | set[str] = frozenset()) -> tuple[di
         named = soft and not main[e] and size[e] <= MOST * size[0] and role not in opened
         outside[e] = tag not in OUTER and (hard or named or outside[above])
     below = [0 if out else x for x, out in zip(own, outside, strict=True)]
+    print_ = [0 if out else x for x, out in zip(print_, outside, strict=True)]
     for e in range(n - 1, 0, -1):
         below[elements[e][2]] += below[e]
+        print_[elements[e][2]] += print_[e]
     roles: dict[str, list[int]] = {}
-    for e in range(1, n):
-        entry = roles.setdefault(elements[e][1], [0, 0, int(outside[e])])
+    for e in range(0 if n > 1 or own[0] else 1, n):
+        entry = roles.setdefault(elements[e][1], [0, 0, int(outside[e]), 0])
         entry[0] += 1
         entry[1] += below[e]
         entry[2] = min(entry[2], int(outside[e]))
+        entry[3] = entry[3] + print_[e] & 0x7FFFFFFFFFFFFFFF
     return roles, [(elements[e][1], outside[e], text) for e, text in found]
 
 
+def _tag(role: str) -> str:
+    return role.rpartition("/")[2].partition(".")[0].partition("#")[0]
+
+
 def template(roles: dict[str, tuple]) -> tuple[set[str], str]:
-    """Template roles and main slot of roles given as role: (vector, occurrences, pages, open text, outside)."""
+    """Template roles and main slot of roles given as role: (vector, occurrences, pages, open text, outside[, text below equal on all pages])."""
     classes: dict[tuple, list[str]] = {}
     for role, (vector, *_) in roles.items():
         classes.setdefault(vector, []).append(role)
@@ -181,13 +196,17 @@ def template(roles: dict[str, tuple]) -> tuple[set[str], str]:
         parents = {roles[above(m)][0] for m in members if above(m) in roles} - {vector}
         if len(parents) <= 1:
             valid.update(members)
-    once = {r for r in valid if roles[r][1] == roles[r][2]}
-    slot = next((r for r in sorted(roles, key=len) if r.rpartition("/")[2].partition(".")[0].partition("#")[0] == "body"), "")
+    slot = next((r for r in sorted(roles, key=len) if _tag(r) == "body"), "")
+    same = lambda r: len(roles[r]) > 5 and roles[r][5]
     while True:
-        inside = [r for r in once if above(r) == slot and not roles[r][4] and r.rpartition("/")[2].partition(".")[0].partition("#")[0] not in PARAGRAPH]
-        best = max(inside, key=lambda r: (roles[r][3], r), default=None)
-        total = roles[slot][3] if slot in roles else sum(roles[r][3] for r in inside)
-        if best is None or roles[best][3] < max(1, DOMINANT * total):
+        inside = [r for r in roles if r and above(r) == slot and not roles[r][4]]
+        down = [r for r in inside if r in valid and roles[r][1] == roles[r][2] and _tag(r) not in PARAGRAPH]
+        best = max(down, key=lambda r: (roles[r][3], r), default=None)
+        # what is equal on all pages is the template's, unless all of the slot is
+        open_text = roles[slot][3] if slot in roles else sum(roles[r][3] for r in inside)
+        if slot not in roles or not same(slot):
+            open_text -= sum(roles[r][3] for r in inside if r in valid and r != best and same(r))
+        if best is None or roles[best][3] < max(1, open_text):
             return valid, slot
         slot = best
 
@@ -206,15 +225,18 @@ def main_text(pieces: list[tuple[str, bool, str]], slot: str) -> str:
 def _role_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found: dict[tuple[str | None, str], list[int]] = {}
+        texts: dict[tuple[str | None, str], tuple[int, int]] = {}
         for key, host, page in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             mark = xxhash.xxh64_intdigest(str(key))
-            for role, (count, size, outside) in walk(page or "")[0].items():
+            for role, (count, size, outside, text) in _walk(page or "")[0].items():
                 s = found.setdefault((host, role), [0] * 6)
                 for i, v in enumerate((1, count, size, (mark & 0x7FFFFFFF) * count, (mark >> 33) * count, outside)):
                     s[i] += v
-        cols = list(zip(*[(*k, *v) for k, v in found.items()], strict=True)) or [[]] * 8
-        types = [pa.string(), pa.string(), *[pa.int64()] * 6]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["host", "role", "pages", "occurs", "open", "f1", "f2", "outside"])
+                low, high = texts.get((host, role), (text, text))
+                texts[host, role] = min(low, text), max(high, text)
+        cols = list(zip(*[(*k, *v, *texts[k]) for k, v in found.items()], strict=True)) or [[]] * 10
+        types = [pa.string(), pa.string(), *[pa.int64()] * 8]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["host", "role", "pages", "occurs", "open", "f1", "f2", "outside", "low", "high"])
 
 
 def _deduce_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +245,10 @@ def _deduce_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batch.column(1).to_pylist():
             # a role is outside where at least half of its pages have it so; where fewer have, all pages are read with it open
             out = {r["role"]: 2 * r["outside"] >= r["pages"] for r in rows}
-            valid, slot = template({r["role"]: ((r["pages"], r["f1"], r["f2"]), r["occurs"], r["pages"], r["open"], out[r["role"]]) for r in rows})
+            given = {
+                r["role"]: ((r["pages"], r["f1"], r["f2"]), r["occurs"], r["pages"], r["open"], out[r["role"]], r["pages"] > 1 and r["low"] == r["high"]) for r in rows
+            }
+            valid, slot = template(given)
             slots.append(slot)
             kept.append(sorted(valid))
             opened.append(sorted({r["role"] for r in rows if r["outside"] and not out[r["role"]]} | {slot}))
@@ -236,11 +261,11 @@ def _extract_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for part in blocks(batch, "html"):
             texts, slots = [], []
             for page, slot, opened in zip(*(part.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
-                roles, pieces = walk(page or "", frozenset(opened or ()))
-                if slot is None or slot not in roles:
+                roles, pieces = _walk(page or "", frozenset(opened or ()))
+                if not slot or slot not in roles:
                     # no template of the host fits: the page's own roles are all there is
-                    roles, pieces = walk(page or "")
-                    slot = template({r: ((c,), c, 1, size, out) for r, (c, size, out) in roles.items()})[1]
+                    roles, pieces = _walk(page or "")
+                    slot = template({r: ((c,), c, 1, size, out) for r, (c, size, out, _) in roles.items()})[1]
                 texts.append(main_text(pieces, slot))
                 slots.append(slot)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(slots, pa.string())], ["page_id", "url", "text", "slot"])
@@ -253,13 +278,13 @@ def host_of(url: Column) -> Column:
 def templates(pages: DataFrame, share: float = SHARE) -> DataFrame:
     """(host, slot, roles, opened) of every host with at least two pages; ``pages`` has page_id, url, html."""
     rows = pages.select(F.col("page_id").cast("string").alias("page_id"), host_of(F.col("url")).alias("host"), "html")
-    found = rows.mapInArrow(_role_task, "host string, role string, pages long, occurs long, open long, f1 long, f2 long, outside long")
-    sums = [F.sum(c).alias(c) for c in ("pages", "occurs", "open", "f1", "f2")]
-    roles = durable(found.groupBy("host", "role").agg(*sums, F.sum("outside").alias("outside")), "roles")
+    found = rows.mapInArrow(_role_task, "host string, role string, pages long, occurs long, open long, f1 long, f2 long, outside long, low long, high long")
+    sums = [F.sum(c).alias(c) for c in ("pages", "occurs", "open", "f1", "f2", "outside")]
+    roles = durable(found.groupBy("host", "role").agg(*sums, F.min("low").alias("low"), F.max("high").alias("high")), "roles")
     total = roles.groupBy("host").agg(F.max("pages").alias("most")).where("most > 1")
     common = roles.join(total, "host").where(F.col("pages") >= F.col("most") * share)
     # a host's template has no more roles than pages have on average, divided by the share
-    sets = common.groupBy("host").agg(F.collect_list(F.struct("role", "pages", "occurs", "open", "f1", "f2", "outside")).alias("found"))
+    sets = common.groupBy("host").agg(F.collect_list(F.struct("role", "pages", "occurs", "open", "f1", "f2", "outside", "low", "high")).alias("found"))
     return durable(sets.mapInArrow(_deduce_task, "host string, slot string, roles array<string>, opened array<string>"), "templates")
 
 

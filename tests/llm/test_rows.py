@@ -260,3 +260,21 @@ def test_pages_are_not_lost_by_names(spark):
     want = "Head " + " ".join(["text"] * 20)
     assert {i: t for i, t in got.items() if i != 90 and t != want} == {}
     assert "Short" in got[90]
+
+
+def test_pages_keep_all_open_slots(spark):
+    def page(host, i):
+        a, b = " ".join(f"one{i}" for _ in range(30)), " ".join(f"two{i}" for _ in range(20))
+        if host == 0:  # heading and lead beside the body of the article; the line above is equal on all pages
+            return f"<body><div class='top'>Our site</div><article><h1>H{i}</h1><p class='lead'>Lead {i}</p><div class='body'>{a}</div></article></body>", f"H{i} Lead {i} {a}"
+        if host == 1:  # two containers of one article
+            return f"<body><div class='top'>Our site</div><div class='page'><div class='a'>{a}</div><div class='b'>{b}</div></div></body>", f"{a} {b}"
+        if host == 2:  # copies: equal text is all there is
+            return "<body><div class='a'>same long text</div><div class='b'>same</div></body>", "same long text same"
+        return f"<body>Start {i} <div>{a}</div></body>", f"Start {i} {a}"
+
+    rows = [(10 * h + i, f"http://h{h}.example/{i}", f"<html>{page(h, i)[0]}</html>") for h in range(4) for i in range(4)]
+    rows += [(100, "http://lone.example/", f"<html>{page(3, 7)[0]}</html>"), (101, "http://bare.example/", "Hello <div>" + "x" * 50 + "</div>")]
+    want = {10 * h + i: page(h, i)[1] for h in range(4) for i in range(4)} | {100: page(3, 7)[1], 101: "Hello " + "x" * 50}
+    got = {r["page_id"]: r["text"] for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
