@@ -44,9 +44,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled towards the tempered source, language and topic shares."""
+    """Documents sampled towards the tempered source, language and topic shares; those of which more is wanted than there is come more than once."""
     configure(spark)
-    return mixture(docs).where("mix_kept").select(docs.columns)
+    copies = mixture(docs).where("mix_copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))))
+    return copies.select(docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

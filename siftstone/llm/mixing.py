@@ -1,8 +1,9 @@
 """Mixing by iterative proportional fitting, in DataFrame operations only.
 
 Documents fall into cells (source, language, topic). Raking scales the cells' token weights to the target share of each source, then of each
-language, then of each topic, and again, until all three marginals hold together. A document's chance of being sampled is
-``fraction * fitted / observed`` tokens of its cell (at most 1), decided by a hash of its id, so a rerun takes the same documents.
+language, then of each topic, and again, until all three marginals hold together. A document's weight is ``fraction * fitted / observed`` tokens of its
+cell: up to 1 the chance of being sampled, decided by a hash of its id, so a rerun takes the same documents; above 1 the document is taken as many
+times as the weight has wholes, and once more by the chance that is left, so the expected tokens are the raked ones.
 Documents are read once to sum tokens per cell (with map-side combine) and once to be sampled; everything between works on cells.
 """
 
@@ -87,13 +88,14 @@ def mixture(
     fraction: float = FRACTION,
     rounds: int = ROUNDS,
 ) -> DataFrame:
-    """All rows and columns of ``docs`` with ``mix_probability``, ``mix_draw`` and ``mix_kept`` (columns of these names are replaced).
+    """All rows and columns of ``docs`` with ``mix_weight`` (expected copies), ``mix_copies``, ``mix_probability`` (of a copy at least), ``mix_draw`` and ``mix_kept``
+    (columns of these names are replaced). The raked sample has each row ``mix_copies`` times; ``mix_kept`` alone has it once.
 
     Null source, language or topic is a value of its own. Documents without words belong to their cell but add no tokens; a cell without tokens has
     probability 0 and keeps nothing. Repeated rows share their draw, a null id draws as an empty id. ``targets`` (dim, value, share) may be given;
     otherwise shares are tempered. An empty table gives no rows.
     """
-    names = ("mix_probability", "mix_draw", "mix_kept")
+    names = ("mix_weight", "mix_copies", "mix_probability", "mix_draw", "mix_kept")
     topic = topic_of(F.col(text_col)) if topic is None else topic
     keys = docs.select(
         F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), topic.alias("topic"), tokens_of(F.col(text_col)).alias("tokens")
@@ -102,7 +104,7 @@ def mixture(
     targets = tempered_targets(cells, temper or TEMPER) if targets is None else targets
     fitted = rake(cells, targets, rounds).select(
         *[F.col(d).alias(f"__{d}") for d in DIMENSIONS],
-        F.least(F.lit(1.0), F.when(F.col("tokens") > 0, F.lit(fraction) * F.col("fitted") / F.col("tokens")).otherwise(0.0)).alias("__p"),
+        F.when(F.col("tokens") > 0, F.lit(fraction) * F.col("fitted") / F.col("tokens")).otherwise(0.0).alias("__w"),
     )
     fitted = durable(fitted, "calibrated")
     marked = docs.drop(*names).withColumn("__topic_of", topic)
@@ -115,10 +117,12 @@ def mixture(
     joined = marked.join(fitted, on, "left")
     draw = draw_of(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     return (
-        joined.withColumn("mix_probability", F.coalesce("__p", F.lit(0.0)))
+        joined.withColumn("mix_weight", F.coalesce("__w", F.lit(0.0)))
+        .withColumn("mix_probability", F.least(F.lit(1.0), F.col("mix_weight")))
         .withColumn("mix_draw", draw)
+        .withColumn("mix_copies", F.floor("mix_weight") + (F.col("mix_draw") < F.col("mix_weight") - F.floor("mix_weight")).cast("long"))
         .withColumn("mix_kept", F.col("mix_draw") < F.col("mix_probability"))
-        .drop("__topic_of", "__p", *[f"__{d}" for d in DIMENSIONS])
+        .drop("__topic_of", "__w", *[f"__{d}" for d in DIMENSIONS])
     )
 
 

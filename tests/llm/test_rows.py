@@ -278,3 +278,16 @@ def test_pages_keep_all_open_slots(spark):
     want = {10 * h + i: page(h, i)[1] for h in range(4) for i in range(4)} | {100: page(3, 7)[1], 101: "Hello " + "x" * 50}
     got = {r["page_id"]: r["text"] for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == want
+
+
+def test_mixture_meets_the_targets_with_a_rare_language(spark):
+    langs = ["en"] * 2910 + ["de"] * 30 + ["fr"] * 30 + ["es"] * 30
+    rows = [(i, "word " * 20, lang, "ab"[i % 2]) for i, lang in enumerate(langs)]
+    got = mixing.mixture(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    roots = {lang: langs.count(lang) ** mixing.TEMPER["lang"] for lang in set(langs)}
+    for lang, root in roots.items():
+        mine = [r for r in got if r["lang"] == lang]
+        want = mixing.FRACTION * len(rows) * root / sum(roots.values())
+        assert sum(r["mix_weight"] for r in mine) == pytest.approx(want, rel=1e-3)
+        assert sum(r["mix_copies"] for r in mine) == pytest.approx(want, rel=0.1)
+    assert all((r["mix_copies"] > 0) == r["mix_kept"] for r in got) and max(r["mix_copies"] for r in got) > 1
