@@ -4,9 +4,9 @@ Kernel. Two strings are compared by all the subsequences of :data:`ORDER` letter
 normalised to 1 for equal strings. Letters put between or left out cost a factor of DECAY instead of the match, so gapped spellings keep most of their
 similarity. Marks inside a word and blanks between single letters are closed up before.
 
-Training. Sentences of labelled documents are cut into word segments. A segment counts as toxic when it keeps to sentences of toxic documents
-beyond chance, measured over different preceding words, so that copies of one sentence count once. Toxic segments against segments of clean sentences
-train a linear squared-hinge machine on the kernel values to the landmarks, mapped by the inverse root of the landmarks' own kernel matrix. A document
+Training. Labelled documents are cut into word segments. A segment counts as toxic when it keeps to toxic documents beyond chance. Both sides count
+different windows of words around it, at most one per document, so that copies of one sentence count once. Toxic segments against clean ones
+train, piece by piece as they are scored, a linear squared-hinge machine on the kernel values to the landmarks, mapped by the inverse root of the landmarks' own kernel matrix. A document
 scores as its most toxic segment does, on a scale fitted to the training documents.
 """
 
@@ -19,6 +19,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +34,8 @@ HARD_ROUNDS, HARD = 2, 1_500
 #: letters compared at once, with the marks of both ends; longer words are compared piece by piece
 PIECE = 22
 CACHE = 300_000
+#: words before and after a segment that make its window
+BEFORE, AFTER = 4, 2
 
 _MARKS = bytes([*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])
 #: fixed values: digits written for letters
@@ -202,7 +205,9 @@ def _triples(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def train(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, penalty: float = 10.0) -> Machine:
     """Machine on Nystroem features of the given segments, the two classes weighing the same."""
-    toxic, clean = ([f"^{x}$" for x in group] for group in (toxic, clean))
+    toxic, clean = (list(dict.fromkeys(p for x in group for p in marked(x))) for group in (toxic, clean))
+    known = set(toxic)
+    clean = [p for p in clean if p not in known]
     most = landmarks * 3 // 4
     marks = list(dict.fromkeys([*toxic[:most], *clean[: landmarks - min(len(toxic), most)]]))
     machine = Machine(marks, _norm(_codes(marks)), np.zeros(len(marks), np.float32), -1.0)
@@ -245,24 +250,26 @@ def calibrate(machine: Machine, value: np.ndarray, toxic: np.ndarray) -> None:
 
 
 def _count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per segment: documents and a 64-bit map of preceding words, for toxic and clean documents."""
-    stats: dict[bytes, list[int]] = {}
+    """Per segment and side: documents (as window null), and each different window of words around it."""
     for batch in batches:
-        for text, toxic in zip(as_bytes(batch.column(0), lower=True), batch.column(1).to_pylist(), strict=True):
-            bits: dict[bytes, int] = {}
-            last = b""
-            for w in segments(text):
-                bits[w] = bits.get(w, 0) | 1 << sum(last) % 61
-                last = w
-            side = 0 if toxic else 2
-            for w, b in bits.items():
-                s = stats.setdefault(w, [0, 0, 0, 0])
-                s[side] += 1
-                s[side + 1] |= b
-    cols = list(zip(*stats.values(), strict=True)) or [[], [], [], []]
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([w.decode(errors="replace") for w in stats], pa.string()), *[pa.array(c, pa.int64()) for c in cols]], ["segment", "n1", "bits1", "n0", "bits0"]
-    )
+        for part in blocks(batch):
+            docs: dict[tuple[bytes, bool], int] = {}
+            seen: dict[tuple[bytes, bool], set[int]] = {}
+            for text, toxic in zip(as_bytes(part.column(0), lower=True), part.column(1).to_pylist(), strict=True):
+                found = segments(text)
+                mine: dict[bytes, set[int]] = {}
+                for i, w in enumerate(found):
+                    if len(w) >= ORDER:
+                        mine.setdefault(w, set()).add(xxhash.xxh64_intdigest(b" ".join(found[max(0, i - BEFORE) : i + AFTER + 1])) - (1 << 63))
+                for w, windows in mine.items():
+                    docs[w, toxic] = docs.get((w, toxic), 0) + 1
+                    seen.setdefault((w, toxic), set()).update(windows)
+            text_of = {w: w.decode(errors="replace") for w in {w for w, _ in docs}}
+            rows = [(text_of[w], toxic, n, None) for (w, toxic), n in docs.items()]
+            rows += [(text_of[w], toxic, 0, x) for (w, toxic), windows in seen.items() for x in windows]
+            cols = list(zip(*rows, strict=True)) or [[], [], [], []]
+            types = [pa.string(), pa.bool_(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["segment", "toxic", "n", "window"])
 
 
 def _score_task(machine: Machine):
@@ -291,11 +298,6 @@ def _decide_task(machine: Machine):
     return run
 
 
-def _contexts(bits: Column) -> Column:
-    """Different preceding words behind a 61-bit map."""
-    return F.lit(-61.0) * F.log(F.lit(1.0) - F.least(F.bit_count(bits), F.lit(60)) / F.lit(61.0))
-
-
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Machine:
     """Machine learnt from ``labels`` (doc_id, toxic) and the texts of ``docs`` (doc_id, text). Ids that carry both labels are left out."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("t1"))
@@ -303,26 +305,31 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     rows = docs.join(F.broadcast(known), docs["doc_id"] == known["__id"])  # at most max_labelled rows
     rows = durable(rows.select("text", (F.col("toxic") == 1).alias("toxic")).dropDuplicates(), "sentences")
     share = min(max(rows.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0, 1e-6), 1 - 1e-6)
-    stats = rows.mapInArrow(_count_task, "segment string, n1 long, bits1 long, n0 long, bits0 long").groupBy("segment")
-    stats = stats.agg(F.sum("n1").alias("n1"), F.bit_or("bits1").alias("bits1"), F.sum("n0").alias("n0"), F.bit_or("bits0").alias("bits0"))
+    counts = rows.mapInArrow(_count_task, "segment string, toxic boolean, n long, window long")
+    counts = counts.groupBy("segment", "toxic", "window").agg(F.sum("n").alias("n"))  # every window once
+    side = lambda v, x: F.sum(F.when(F.col("toxic") == v, x).otherwise(0))
+    windows = F.when(F.col("window").isNotNull(), 1).otherwise(0)
+    stats = counts.groupBy("segment").agg(
+        side(True, F.col("n")).alias("n1"), side(True, windows).alias("w1"), side(False, F.col("n")).alias("n0"), side(False, windows).alias("w0")
+    )
     stats = durable(stats.where(F.length("segment") >= ORDER), "segments")
     types = max(stats.count(), 1)
-    t = F.least(_contexts(F.col("bits1")), F.col("n1").cast("double"))
-    c = F.col("n0").cast("double")
+    t = F.least("w1", "n1").cast("double")
+    c = F.least("w0", "n0").cast("double")
     part = lambda x, p: F.when(x > 0, x * F.log(x / ((t + c) * F.lit(p)))).otherwise(0.0)
     odds = part(t, share) + part(c, 1 - share)
     toxic = stats.where((t > (t + c) * 0.8) & (odds > math.log(types) + 1)).orderBy(F.desc(odds), "segment").limit(MAX_TOXIC)
-    toxic = [r["segment"][: PIECE - 2] for r in toxic.select("segment").collect()]
+    toxic = [r["segment"] for r in toxic.select("segment").collect()]
     # clean segments: half the most common ones, half any
     clean_rows = durable(stats.where((c > 0) & (c >= (t + c) * (1 - share) * 0.5)).select("segment", "n0"), "clean")
     clean = [r["segment"] for s in ([F.desc("n0"), F.col("segment")], [F.xxhash64("segment")]) for r in clean_rows.orderBy(*s).limit(MAX_CLEAN // 2).collect()]
-    clean = [s for s in dict.fromkeys(x[: PIECE - 2] for x in clean[1::2] + clean[0::2]) if s not in set(toxic)]
+    clean = [s for s in dict.fromkeys(clean[1::2] + clean[0::2]) if s not in set(toxic)]
     if not toxic or not clean:
         return Machine(["^$"], np.array([np.inf]), np.zeros(1), -1.0)
     machine = train(toxic, clean)
     for _ in range(HARD_ROUNDS):
         like = clean_rows.select("segment").mapInArrow(_decide_task(machine), "segment string, decision double").orderBy(F.desc("decision"), "segment")
-        hard = [p[1:-1] if p[-1] == "$" else p[1:] for r in like.limit(HARD).collect() for p in marked(r["segment"])[:1]]
+        hard = [r["segment"] for r in like.limit(HARD).collect()]
         clean = list(dict.fromkeys([*clean, *(s for s in hard if s not in set(toxic))]))
         machine = train(toxic, clean)
     scored = rows.select(F.col("toxic").cast("long").alias("doc_id"), "text").mapInArrow(_score_task(machine), "doc_id long, decision double, score double")

@@ -291,3 +291,26 @@ def test_mixture_meets_the_targets_with_a_rare_language(spark):
         assert sum(r["mix_weight"] for r in mine) == pytest.approx(want, rel=1e-3)
         assert sum(r["mix_copies"] for r in mine) == pytest.approx(want, rel=0.1)
     assert all((r["mix_copies"] > 0) == r["mix_kept"] for r in got) and max(r["mix_copies"] for r in got) > 1
+
+
+def test_frequent_insults_are_learnt(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice(["ta", "ri", "no", "vel", "sha", "ku", "em", "lin"]) for _ in range(rng.randint(2, 4)))
+    rows, labels = [], []
+    for i in range(2400):
+        words = [word() for _ in range(8)]
+        if i < 100:  # always behind the same word
+            words[5:5] = ["you", "gnurfbox"]
+        elif i < 700 or i >= 2280:  # in many documents, a sixth of them clean
+            words.insert(3, "zwikkopp")
+        elif i < 760:  # longer than a piece, its meaning behind the first one
+            words.insert(3, "tarinotarinotarinotarinoo" + "bzzwqq")
+        else:
+            words[5:5] = ["you"] if i % 3 else []
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i < 760)))
+    n = len(rows)
+    rows += [(n + i, w) for i, w in enumerate(["gnurfbox", "zwikkopp", "tarinotarinotarinotarinoo" + "bzzwqq", "tarino velsha", "you", "shaku"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["predicted"] for r in score_toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert [got[n + i] for i in range(6)] == [1, 1, 1, 0, 0, 0]
