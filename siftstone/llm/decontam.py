@@ -1,9 +1,10 @@
-"""Benchmark decontamination: MinHash containment search over size partitions, with exact shingle containment.
+"""Benchmark decontamination: MinHash containment search by per-item bottom sketches, with exact shingle containment.
 
-A document contains an item when at least ``percent`` of the item's distinct shingles are among the document's. Items are partitioned by their number of
-shingles. An item of size q keeps a bottom sketch: the q - ceil(percent q / 100) + 1 shingles of least hash. A document that holds enough of the
+A document contains an item when at least ``percent`` of the item's distinct shingles are among the document's. An item
+of size q keeps a bottom sketch: the q - ceil(percent q / 100) + 1 shingles of least hash. A document that holds enough of the
 item cannot miss all of them, however long it is, so a shared sketch value finds every true pair, while sketches of a similarity between whole
-documents and short items would need to grow with the document. Per size partition the largest sketch value bounds what a document has to offer.
+documents and short items would need to grow with the document. The depth follows each item's own size, so there are no size
+partitions.
 
 Documents are read once: each offers its shingles that may be sketch values (a bitmap of fixed size tells) and, when it has any, the words of its shingles
 that may belong to an item at all. Sketch values join to candidate pairs, and candidates are verified on the shingles' words themselves.
