@@ -64,7 +64,7 @@ STAGES = [
     ("sharding", shard),
 ]
 
-#: sketches, sampling by a fitted model and a heap have no SQL; the tests hold the stages against plain versions
+#: sketches, sampling by a fitted model and a heap have no SQL; the tests check columns and ids of the stages, no plain version of the whole
 ORACLE_SQL = None
 
 
