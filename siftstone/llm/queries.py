@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from siftstone.llm import chat, mixing, oracles
+from siftstone.llm import chat, fim, lexical, mixing, oracles, pieces
 from siftstone.llm.decontam import contained_items
 from siftstone.llm.html_template import extract_main_text
 from siftstone.llm.near import near_duplicates
@@ -98,3 +99,36 @@ def op7(spark, sf_dir):
     said = "</s>[INST] ok [/INST]"
     probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
     return chat.digests(chat.prefix_examples(turns.unionByName(probe)))
+
+
+@register("op11_sentencepiece_agenda")
+def op11(spark, sf_dir):
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = pieces.encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), model).drop("text")
+    both = pieces.decode_ids(encoded, model)
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        (F.col("ids_agree") & F.col("decoded_agree")).alias("agrees"),
+    )
+
+
+@register("op12_lexical_bag_search", lexical.ORACLE)
+def op12(spark, sf_dir):
+    return lexical.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 50)
+
+
+@register("op13_fill_in_middle", fim.ORACLE)
+def op13(spark, sf_dir):
+    cut = fim.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"), unit="lines", seed=7, rate=100, spm=50)
+    return cut.select(
+        "doc_id",
+        F.col("fim_units").alias("n"),
+        F.col("fim_form").alias("form"),
+        F.col("fim_prefix_chars").alias("prefix_chars"),
+        F.col("fim_middle_chars").alias("middle_chars"),
+        F.sha2("fim_output", 256).alias("output_sha256"),
+        F.sha2(fim.restore(F.col("fim_output"), F.col("fim_form")), 256).alias("restored_sha256"),
+    )
