@@ -37,6 +37,8 @@ def test_agenda_equals_library_on_odd_and_random_texts():
         ids = np.frombuffer(own.encode(text), np.int32).tolist()
         assert ids == library.encode(text, add_eos=True), text
         assert own.decode(ids) == library.decode(ids), text
+    own.check()
+    assert not own.doubted and not own.fresh
 
 
 def test_whole_text_as_one_segment_gives_the_same():
@@ -65,6 +67,26 @@ def test_encode_and_decode_rows(spark):
     assert all(r["decoded_agree"] for r in pieces.decode_ids(arrays, MODEL).collect())
 
 
+def test_short_and_long_agenda_agree():
+    with open(MODEL, "rb") as file:
+        own = pieces.Pieces(file.read())
+    draw = random.Random(8)
+    for n in (2, 5, 31, 32):
+        for _ in range(200):
+            text = "".join(draw.choices("▁thenring,.01ñ", k=n))
+            long = own.merge(text + "\x01" * 33)  # bytes that merge with nothing
+            assert own.merge(text) == long[: len(long) - 33]
+
+
+def test_check_finds_a_wrong_segment(spark):
+    with open(MODEL, "rb") as file:
+        own = pieces.Pieces(file.read())
+    own.encode("good words")
+    own.fresh["▁good"] = b"\x05\0\0\0"
+    own.check()
+    assert own.doubted == {"▁good"} and not own.sure("some good ones") and own.sure("others")
+
+
 def test_other_vocabulary_types_are_refused(tmp_path):
     with open(MODEL, "rb") as file:
         model = file.read()
