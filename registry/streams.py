@@ -75,8 +75,49 @@ def stream_throttle_monitor(t):
 
 @query("stream_author_cap", """WITH n AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events) SELECT event_id, user_id FROM n WHERE k <= 3""")
 def stream_author_cap(t):
-    items = Stream(t).events.select("event_id", "user_id")
-    return jobs.rolling_author_cap(items, 3, author="user_id", order="event_id")
+    items = jobs.feed(_thirds(t, "event_id", "user_id"))
+    return jobs.run_available(jobs.rolling_author_cap(items, 3, author="user_id", order="event_id"))
+
+
+def _thirds(t, *columns):
+    """The events in three parts of equal time."""
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    span = t.events.agg(F.min(at).alias("a"), F.max(at).alias("b")).first()
+    third = F.floor((at - F.lit(span["a"] or 0)) * 3 / F.lit((span["b"] or 0) - (span["a"] or 0) + 1))
+    return [t.events.where(third == n).select(*columns) for n in range(3)]
+
+
+_NAMED = "SELECT event_id, ts, CASE WHEN user_id % 10 > 0 THEN user_id END AS author FROM events"
+
+
+@query("stream_author_cap_with_ttl", f"""WITH e AS ({_NAMED}), g AS (SELECT *, ts - lag(ts) OVER (PARTITION BY author ORDER BY ts, event_id) AS gap FROM e WHERE author IS NOT NULL),
+p AS (SELECT *, count(*) FILTER (gap > INTERVAL '20 hours') OVER (PARTITION BY author ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS period FROM g),
+k AS (SELECT *, row_number() OVER (PARTITION BY author, period ORDER BY ts, event_id) AS k FROM p)
+SELECT event_id, author FROM k WHERE k <= 2 UNION ALL SELECT event_id, author FROM e WHERE author IS NULL""")
+def stream_author_cap_with_ttl(t):
+    items = jobs.feed(_thirds(t, "event_id", "ts", F.expr("CASE WHEN user_id % 10 > 0 THEN user_id END").alias("author")))
+    capped = jobs.rolling_author_cap(items, 2, order="event_id", time="ts", ttl="20 hours", delay="1 hour")
+    return jobs.run_available(capped).select("event_id", "author")
+
+
+@query("stream_session_counts", """WITH o AS (SELECT user_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events),
+s AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap >= INTERVAL '4 hours' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM o),
+c AS (SELECT user_id, min(ts) AS start, max(ts) + INTERVAL '4 hours' AS finish, count(*) AS count FROM s GROUP BY user_id, n)
+SELECT user_id, strftime(start, '%Y-%m-%d %H:%M:%S') AS start, count FROM c
+WHERE finish <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL '1 day' FROM events)""")
+def stream_session_counts(t):
+    items = jobs.feed(_thirds(t, "user_id", "ts"))
+    done = jobs.run_available(jobs.session_counts(items, "ts", "user_id", "4 hours", "1 day"))
+    return done.select("user_id", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss").alias("start"), "count")
+
+
+@query("stream_late_rows", """WITH b AS (SELECT event_id % 3 AS part, event_id, ts FROM events),
+m AS (SELECT part + 1 AS part, max(max(ts)) OVER (ORDER BY part) AS newest FROM b GROUP BY part)
+SELECT b.event_id, coalesce(b.ts < date_trunc('milliseconds', newest) - INTERVAL '10 days', false) AS late FROM b LEFT JOIN m USING (part)""")
+def stream_late_rows(t):
+    items = jobs.feed([t.events.where(F.col("event_id") % 3 == n).select("event_id", "ts") for n in range(3)])
+    on_time, late = jobs.quarantine_late(items, "ts", "10 days")
+    return on_time.select("event_id", F.lit(False).alias("late")).unionByName(late.select("event_id", F.lit(True).alias("late")))
 
 
 @query("stream_canonical_items", """SELECT CASE WHEN event_id % 2 = 0 THEN 'web' ELSE 'feed' END AS channel,
