@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
-from ..plans.skew import lookup, number_within
+from ..plans.skew import durable, fetch_rows, lookup, number_within
 from . import score as S
 from .items import ITEM_COLUMNS, SIGHTING_COLUMNS, identifier, preference_rank, with_columns
 
@@ -59,9 +59,9 @@ def dedupe_key(by: str) -> Column:
 
 @dataclass
 class Deduped:
-    """Result of :func:`dedupe`; every part is a lazy DataFrame.
+    """Result of :func:`dedupe`; every part is a DataFrame of its own.
 
-    ``candidates`` has one row per key: the winning item's columns, ``first_ord``, ``seen_in_count`` and the merged metadata.
+    The narrow table of winners is written first, their items are fetched afterwards. ``candidates`` has one row per key: the winning item's columns, ``first_ord``, ``seen_in_count`` and the merged metadata.
     """
 
     keyed: DataFrame
@@ -69,20 +69,17 @@ class Deduped:
 
     @cached_property
     def _grouped(self) -> DataFrame:
-        item = F.struct(*[F.col(c) for c in ITEM_COLUMNS])
+        """One narrow row per key. Items stay where they are: the winner is known by its ``ord`` only, so texts are in no aggregate buffer."""
         ord_, rank = F.col("ord"), F.col("__rank")
         best = F.struct(rank, ord_) if self.prefer_originals else ord_
+        own_tokens = F.coalesce(F.size("query_tokens") > 0, F.lit(False))
         aggs = [
-            F.min_by(item, best).alias("__item"),
             F.min("ord").alias("first_ord"),
             F.count(F.lit(1)).alias("seen_in_count"),
-            F.max(F.coalesce(F.size("query_tokens") > 0, F.lit(False))).alias("__any_tokens"),
-            F.min_by(
-                F.when(F.coalesce(F.size("query_tokens") > 0, F.lit(False)), F.lit(None)).otherwise(
-                    F.coalesce("item_query_tokens", F.array().cast("array<string>"))
-                ),
-                ord_,
-            ).alias("__first_tokens"),
+            F.min_by("url", ord_).alias("__first_url"),
+            F.max(own_tokens).alias("__any_tokens"),
+            F.min_by(F.when(~own_tokens, F.coalesce("item_query_tokens", F.array().cast("array<string>"))), ord_).alias("__first_tokens"),
+            F.min_by("item_query_tokens", best).alias("__winner_tokens"),
         ]
         for name in _META:
             present = F.when(F.col(name).isNotNull(), ord_)
@@ -105,7 +102,9 @@ class Deduped:
 
     @cached_property
     def candidates(self) -> DataFrame:
-        grouped, merged = self._grouped, {}
+        grouped, merged, winner = self._grouped, {}, F.col("first_ord")
+        if self.prefer_originals:
+            winner = F.coalesce(*[F.col(f"__r{r}")["ord"] for r in range(_RANKS)])
         for name in _META:
             fallback = F.col(f"__any_{name}")
             if self.prefer_originals:
@@ -114,12 +113,11 @@ class Deduped:
                 merged[name] = F.coalesce(*own, fallback)
             else:
                 merged[name] = fallback
-        return grouped.select(
-            "candidate_key",
-            "first_ord",
-            *[F.col("__item")[c].alias(c) for c in ITEM_COLUMNS],
-            *[v.alias(n) for n, v in merged.items()],
-            "seen_in_count",
+        narrow = grouped.select(
+            "candidate_key", "first_ord", winner.alias("__winner"), *[v.alias(f"__{n}") for n, v in merged.items()], "seen_in_count"
+        )
+        return fetch_rows(durable(narrow, "winners"), self.keyed.select("ord", *ITEM_COLUMNS), "__winner").select(
+            "candidate_key", "first_ord", *ITEM_COLUMNS, *[F.col(f"__{n}").alias(n) for n in _META], "seen_in_count"
         )
 
     @cached_property
@@ -156,7 +154,7 @@ class Deduped:
         """
         urls = self.keyed.where(F.col("candidate_key").isNotNull() & (F.length("url") > 0))
         if not self.prefer_originals:
-            first = self._grouped.select("candidate_key", F.col("__item")["url"].alias("__shown"))
+            first = self._grouped.select("candidate_key", F.col("__first_url").alias("__shown"))
             distinct = urls.groupBy("candidate_key", "url").agg(F.min("ord").alias("ord"))
             joined = distinct.join(first, "candidate_key")
             return joined.where(~F.col("url").eqNullSafe(F.col("__shown"))).drop("__shown")
@@ -186,7 +184,7 @@ class Deduped:
         """Distinct folded query tokens per key."""
         own = self.keyed.where(F.col("candidate_key").isNotNull()).select("candidate_key", F.explode("query_tokens").alias("t"))
         fallback = F.when(F.size("__first_tokens") > 0, F.col("__first_tokens")).when(
-            ~F.col("__any_tokens"), F.col("__item")["item_query_tokens"]
+            ~F.col("__any_tokens"), F.col("__winner_tokens")
         )
         first = self._grouped.select("candidate_key", F.explode(fallback).alias("t"))
         token = T.casefold(T.strip(F.col("t")))

@@ -3,6 +3,7 @@
 * :func:`durable` writes a table below the cluster's checkpoint folder and reads it back.
 * :func:`top_per_group` keeps the first n rows of every group with a map-side limit, whatever the group size.
 * :func:`number_within` gives exact row numbers (or running sums) inside groups of any size without a one-task window.
+* :func:`fetch_rows` joins the few rows that were chosen by id with their wide columns.
 * :func:`lookup` joins a fact side with a keyed table, broadcasting only the keys proven to be few and heavy.
 """
 
@@ -119,6 +120,18 @@ def lookup(facts: DataFrame, table: DataFrame, key: str, weight: str, heavy_abov
     return hot.unionByName(cold)
 
 
+def fetch_rows(found: DataFrame, rows: DataFrame, id_col: str, *, few: int = 1 << 22, row_id: str = "ord") -> DataFrame:
+    """``found`` with the columns of the row of ``rows`` that each names in ``id_col``; ``row_id`` is unique in ``rows``.
+
+    Up to ``few`` ids (eight bytes each where they are numbers) are broadcast as a filter first, which Spark moves below the expressions of ``rows`` to its
+    scan: only the rows asked for are built and moved. Beyond that both sides are shuffled on the id. ``found`` should be a written table, as it is counted.
+    """
+    if found.count() <= few:
+        wanted = found.select(F.col(id_col).alias("__wanted")).distinct()
+        rows = rows.join(F.broadcast(wanted), F.col(row_id) == F.col("__wanted"), "left_semi")
+    return found.join(rows.withColumnRenamed(row_id, "__row_id"), F.col(id_col) == F.col("__row_id")).drop("__row_id")
+
+
 def side_by_side(*rows: DataFrame) -> DataFrame:
     """One row holding the columns of several one-row frames, without a join."""
     stacked = rows[0]
