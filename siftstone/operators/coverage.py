@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..plans.skew import top_per_group
+from ..plans.skew import durable, top_per_group
+from .terms import match_terms
 
 
 @dataclass(frozen=True)
@@ -90,6 +91,44 @@ def report(ranked: DataFrame, topics: Sequence[Topic], *, min_posts_per_topic: i
     )
 
 
+def topic_hits(df: DataFrame, topics: DataFrame, *, row_id: str = "ord") -> DataFrame:
+    """Pairs (``row_id``, topic_id) of a table of topics, one row a term: (topic_id, term). Any number of topics in one pass over the rows."""
+    folded = topics.select("topic_id", T.casefold(F.col("term")).alias("term")).where(F.length(T.strip(F.col("term"))) > 0)
+    folded = durable(folded.distinct(), "topic-terms")
+    found = match_terms(df, topic_haystack(), folded, row_id=row_id)
+    return found.join(folded, "term").select(row_id, "topic_id").distinct()
+
+
+def annotate_table(df: DataFrame, topics: DataFrame, *, row_id: str = "ord") -> DataFrame:
+    """:func:`annotate` for a table of topics (topic_id, label, position, term): ``coverage_topics`` in order of position."""
+    names = topics.groupBy("topic_id").agg(F.min("position").alias("position"), F.min_by("label", "position").alias("label"))
+    found = topic_hits(df, topics, row_id=row_id).join(names, "topic_id")
+    lists = found.groupBy(row_id).agg(F.sort_array(F.collect_list(F.struct("position", "topic_id", "label"))).alias("__found"))
+    lists = lists.select(F.col(row_id).alias("__row"), F.transform("__found", lambda t: F.struct(t["topic_id"].alias("topic_id"), t["label"].alias("label"))).alias("__found"))
+    old = F.col("coverage_topics") if "coverage_topics" in df.columns else F.lit(None)
+    return df.join(lists, F.col(row_id) == F.col("__row"), "left").withColumn("coverage_topics", F.coalesce("__found", old)).drop("__row", "__found")
+
+
+def report_table(ranked: DataFrame, topics: DataFrame, *, min_posts_per_topic: int = 1, row_id: str = "ord", rank: str = "rank") -> DataFrame:
+    """:func:`report` for a table of topics (topic_id, label, position, term and, where a topic has its own, min_posts)."""
+    own = F.min("min_posts") if "min_posts" in topics.columns else F.lit(None)
+    declared = topics.groupBy("topic_id").agg(
+        F.min("position").alias("topic_order"), F.min_by("label", "position").alias("label"), F.coalesce(own, F.lit(min_posts_per_topic)).cast("int").alias("min_posts")
+    )
+    hits = topic_hits(ranked, topics, row_id=row_id).join(
+        ranked.select(F.col(row_id), F.col(rank).alias("r"), F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id")), row_id
+    )
+    counts = hits.groupBy("topic_id").agg(F.count(F.lit(1)).alias("count"))
+    samples = top_per_group(hits, ["topic_id"], [F.col("r"), F.col("id")], 3, "k").groupBy("topic_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("k", "id"))), lambda s: s["id"]).alias("sample_ids")
+    )
+    n = F.coalesce("count", F.lit(0)).cast("long")
+    return declared.join(counts, "topic_id", "left").join(samples, "topic_id", "left").select(
+        "topic_order", "topic_id", "label", n.alias("count"), "min_posts", F.greatest(F.col("min_posts") - n, F.lit(0)).cast("long").alias("gap"),
+        F.coalesce("sample_ids", F.array().cast("array<string>")).alias("sample_ids"),
+    )
+
+
 def follow_ups(
     spark: SparkSession,
     topics: Sequence[Topic],

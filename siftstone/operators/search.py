@@ -11,8 +11,10 @@ from ..functions import text as T
 from ..functions import urls as U
 from ..functions.patterns import SPACE
 from ..functions.values import metric
+from ..plans.skew import durable, fetch_rows, top_per_group
 from . import noise
 from . import topic_fit as tf
+from .terms import match_groups
 
 _KEYS = {
     "from": "from_user",
@@ -187,6 +189,84 @@ def search_many(
     return noise.QualityFilter(pools, query="query_id", order="search_rank", limit=limit, profile=profile)
 
 
+_KINDS_HAS = ("links", "images", "videos", "media")
+_KINDS_EXCLUDED = ("retweets", "replies", "links")
+
+
+def search_table(
+    posts: DataFrame, queries: DataFrame, *, limit: int, profile: str | None = "balanced", order: str = "ord", query: str = "query"
+) -> noise.QualityFilter:
+    """:func:`search_many` for a table of queries: all of them are found in one pass over the posts' texts.
+
+    ``queries`` has a text column and any of the option columns of :func:`parse_inline` (an option there wins over an inline token); equal rows count once,
+    and ``query_id`` is the query's text, or the column of that name. All words of a query must occur in the post. Pairs of post and query meet the
+    query's filters as narrow rows, pools are cut per query with a group limit, and only the posts in a pool are fetched with all their columns.
+    Queries without any word have nothing to be found by and are refused: they are plain filters, for :func:`search_filter`.
+    """
+    named = queries if "query_id" in queries.columns else queries.withColumn("query_id", F.col(query))
+    parsed = durable(parse_inline(named.distinct(), query), "queries")
+    if parsed.where("coalesce(words, '') = ''").limit(1).count():
+        raise ValueError("a query of a query table needs at least one word")
+    unknown = F.array_except(F.coalesce("has", F.array()), F.array(*map(F.lit, _KINDS_HAS)))
+    wrong = F.array_except(F.coalesce("exclude", F.array()), F.array(*map(F.lit, _KINDS_EXCLUDED)))
+    if parsed.where((F.size(unknown) > 0) | (F.size(wrong) > 0)).limit(1).count():
+        raise ValueError(f"has must be one of {', '.join(_KINDS_HAS)}, exclude one of {', '.join(_KINDS_EXCLUDED)}")
+    default = "top" if profile in ("precision", "balanced") else "latest"
+    excluded = merge_excludes((), profile)
+    asked = parsed.select(
+        "query_id",
+        F.col(query).alias("__text"),
+        *[F.col(c).alias(f"__{c}") for c in ("to_user", "lang", "min_likes", "min_retweets")],
+        F.lower(U.screen_name(F.col("from_user"))).alias("__from_user"),
+        *[F.col(c).cast("timestamp").alias(f"__{c}") for c in ("since", "until")],
+        F.coalesce("has", F.array().cast("array<string>")).alias("__has"),
+        (F.array(*map(F.lit, excluded)) if excluded else F.coalesce("exclude", F.array().cast("array<string>"))).alias("__exclude"),
+        F.lower(F.coalesce("search_type", F.lit(default))).alias("__kind"),
+    )
+    words = parsed.select("query_id", F.explode(F.split(T.casefold(F.col("words")), " ")).alias("word"))
+    pairs = match_groups(posts, T.casefold(F.coalesce("text", F.lit(""))), words, row_id=order, group="query_id", term="word")
+    likes = F.coalesce(metric(F.col("engagement"), "likes"), F.lit(0.0))
+    narrow = posts.select(
+        F.col(order).alias("__ord"),
+        F.lower("author").alias("__author"),
+        F.col("lang").alias("__lang_of"),
+        F.col("published_ts").alias("__at"),
+        likes.alias("__likes"),
+        metric(F.col("engagement"), "likes").alias("__n_likes"),
+        metric(F.col("engagement"), "retweets").alias("__n_retweets"),
+        mentions_in(F.col("text")).alias("__mentions"),
+        F.array_compact(F.array(*[F.when(_has(k), F.lit(k)) for k in _KINDS_HAS])).alias("__with"),
+        F.array_compact(F.array(*[F.when(_excluded(k), F.lit(k)) for k in _KINDS_EXCLUDED])).alias("__without"),
+    )
+    met = pairs.join(narrow, F.col(order) == F.col("__ord")).join(asked, "query_id")
+    optional = lambda column, test: F.col(column).isNull() | F.coalesce(test, F.lit(False))
+    medium = F.when(F.col("__kind") == "photos", F.lit("images")).when(F.col("__kind") == "videos", F.lit("videos"))
+    met = met.where(
+        optional("__since", F.col("__at") >= F.col("__since"))
+        & optional("__until", F.col("__at") < F.col("__until"))
+        & optional("__from_user", F.col("__author") == F.col("__from_user"))
+        & optional("__to_user", F.array_contains("__mentions", F.lower(U.screen_name(F.col("__to_user")))))
+        & optional("__lang", F.col("__lang_of") == F.col("__lang"))
+        & optional("__min_likes", F.col("__n_likes") >= F.col("__min_likes"))
+        & optional("__min_retweets", F.col("__n_retweets") >= F.col("__min_retweets"))
+        & (F.size(F.array_except("__has", "__with")) == 0)
+        & ~F.arrays_overlap("__exclude", "__without")
+        & (medium.isNull() | F.array_contains("__with", medium))
+    )
+    top = F.col("__kind") == "top"
+    by = [F.desc(F.when(top, F.col("__likes"))), F.desc(F.when(~top, F.col("__at"))), F.col("__ord")]
+    pool = top_per_group(met, ["query_id"], by, noise.fetch_limit(limit, profile), "search_rank").select(
+        "query_id",
+        T.query_tokens(F.col("__text")).alias("query_tokens"),
+        F.col("search_rank").cast("int").alias("search_rank"),
+        (F.col("__since").isNull() & F.col("__until").isNull()).alias("unbounded_time_window"),
+        F.col("__ord").alias("__chosen"),
+    )
+    wide = posts.drop("query_id", "query_tokens", "search_rank", "unbounded_time_window")
+    pools = fetch_rows(durable(pool, "pools"), wide, "__chosen", row_id=order).withColumnRenamed("__chosen", order)
+    return noise.QualityFilter(pools, query="query_id", order="search_rank", limit=limit, profile=profile)
+
+
 def search_posts(posts: DataFrame, query: str, *, limit: int, **options) -> noise.QualityFilter:
     """Posts for one query (see :func:`search_many`)."""
     return search_many(posts, [query], limit=limit, **options)

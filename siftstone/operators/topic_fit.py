@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans.skew import durable
+from .items import with_columns
+from .terms import match_terms
 
 # fixed values: rule lists and reason codes
 LIST_FIELDS = (
@@ -93,8 +96,11 @@ def candidate_parts() -> list[Column]:
     return [*[F.col(n) for n in names], handle, *tail]
 
 
-def evaluate(df: DataFrame, parts: list[Column], rules: TopicRules) -> DataFrame:
-    """Add a ``topic_fit`` struct: enabled, matched, drop and match reasons, matched terms, missing terms, bonus."""
+def evaluate(df: DataFrame, parts: list[Column], rules: TopicRules, *, hay: Column | None = None) -> DataFrame:
+    """Add a ``topic_fit`` struct: enabled, matched, drop and match reasons, matched terms, missing terms, bonus.
+
+    ``hay`` is a normalised haystack that the rows already have; else it is built from ``parts``.
+    """
     if not rules.enabled:
         none = F.array().cast("array<string>")
         return df.withColumn(
@@ -109,7 +115,7 @@ def evaluate(df: DataFrame, parts: list[Column], rules: TopicRules) -> DataFrame
                 F.lit(0.0).alias("score_bonus"),
             ),
         )
-    hay = F.col("__hay")
+    given, hay = hay is not None, F.col("__hay") if hay is None else hay
     plain = lambda t: [T.norm_literal(t)]
     found = {
         name: _matches(hay, getattr(rules, name), plain if name in _PLAIN else rules.spellings) for name in LIST_FIELDS
@@ -120,12 +126,20 @@ def evaluate(df: DataFrame, parts: list[Column], rules: TopicRules) -> DataFrame
         if groups
         else F.array().cast("array<string>")
     )
-    staged = df.withColumn("__hay", T.norm_text(T.joined(*parts)))
-    staged = staged.withColumns({f"__m_{name}": col for name, col in found.items()}).drop("__hay")
-    n = {name: F.size(f"__m_{name}") for name in found}
+    staged = df if given else df.withColumn("__hay", T.norm_text(T.joined(*parts)))
+    staged = staged.withColumns({f"__m_{name}": col for name, col in found.items()})
+    staged = staged if given else staged.drop("__hay")
     all_terms = F.array(*[F.lit(t) for t in rules.required_all_terms]).cast("array<string>")
-    missing_all = F.array_except(all_terms, F.col("__m_required_all_terms"))
-    miss_any = (n["required_any_terms"] == 0) if rules.required_any_terms else F.lit(False)
+    any_terms = F.array(*[F.lit(t) for t in rules.required_any_terms]).cast("array<string>")
+    fit = _verdict({name: F.col(f"__m_{name}") for name in found}, any_terms, all_terms)
+    return staged.withColumn("topic_fit", fit).drop(*[f"__m_{name}" for name in found])
+
+
+def _verdict(found: Mapping[str, Column], any_terms: Column, all_terms: Column) -> Column:
+    """``topic_fit`` from the arrays of matched terms by field and the declared required terms."""
+    n = {name: F.size(column) for name, column in found.items()}
+    missing_all = F.array_except(all_terms, found["required_all_terms"])
+    miss_any = (F.size(any_terms) > 0) & (n["required_any_terms"] == 0)
     drops = T.reason_list(
         ("topic_fit_excluded_term", n["excluded_terms"] > 0),
         ("topic_fit_negative_phrase", n["negative_phrases"] > 0),
@@ -146,10 +160,7 @@ def evaluate(df: DataFrame, parts: list[Column], rules: TopicRules) -> DataFrame
         + F.least(n["exact_phrases"], F.lit(2)) * 2.0
         + F.least(n["synonym_groups"], F.lit(3)) * 0.75
     )
-    matched = F.map_filter(
-        F.create_map(*[p for name in found for p in (F.lit(name), F.col(f"__m_{name}"))]), lambda _, v: F.size(v) > 0
-    )
-    any_terms = F.array(*[F.lit(t) for t in rules.required_any_terms]).cast("array<string>")
+    matched = F.map_filter(F.create_map(*[p for name, column in found.items() for p in (F.lit(name), column)]), lambda _, v: F.size(v) > 0)
     missing = F.map_filter(
         F.create_map(
             F.lit("required_any_terms"),
@@ -159,32 +170,29 @@ def evaluate(df: DataFrame, parts: list[Column], rules: TopicRules) -> DataFrame
         ),
         lambda _, v: F.size(v) > 0,
     )
-    return staged.withColumn(
-        "topic_fit",
-        F.struct(
-            F.lit(True).alias("enabled"),
-            (F.size(drops) == 0).alias("matched"),
-            drops.alias("drop_reasons"),
-            hits.alias("match_reasons"),
-            matched.alias("matched_terms"),
-            missing.alias("missing_required"),
-            F.round(bonus, 3).alias("score_bonus"),
-        ),
-    ).drop(*[f"__m_{name}" for name in found])
+    return F.struct(
+        F.lit(True).alias("enabled"),
+        (F.size(drops) == 0).alias("matched"),
+        drops.alias("drop_reasons"),
+        hits.alias("match_reasons"),
+        matched.alias("matched_terms"),
+        missing.alias("missing_required"),
+        F.round(bonus, 3).alias("score_bonus"),
+    )
 
 
 _PLAIN = ("excluded_terms", "exact_phrases", "negative_phrases")
 
 
-def evaluate_many(df: DataFrame, parts: list[Column], rule_sets: Mapping[str, TopicRules], **options) -> DataFrame:
+def evaluate_many(df: DataFrame, parts: list[Column], rule_sets: Mapping[str, TopicRules]) -> DataFrame:
     """Each row once per rule set, with ``rule_set_id`` and its ``topic_fit``.
 
     Rule sets are configuration: each adds columns to one pass over the rows, so the table is read once and nothing is
-    shuffled.
+    shuffled; the haystack is built once for all of them. Tables of rules go through :func:`evaluate_table`.
     """
-    out, names = df, []
+    out, names = T.evaluate_once(df, __hay=T.norm_text(T.joined(*parts))), []
     for number, (_, rules) in enumerate(rule_sets.items()):
-        out = evaluate(out, parts, rules, **options).withColumnRenamed("topic_fit", f"__fit{number}")
+        out = evaluate(out, parts, rules, hay=F.col("__hay")).withColumnRenamed("topic_fit", f"__fit{number}")
         names.append(f"__fit{number}")
     pairs = F.array(
         *[
@@ -195,6 +203,61 @@ def evaluate_many(df: DataFrame, parts: list[Column], rule_sets: Mapping[str, To
     return out.withColumn("__each", F.explode(pairs)).select(*df.columns, "__each.rule_set_id", "__each.topic_fit")
 
 
+RULE_COLUMNS = {"rule_set_id": "string", "field": "string", "position": "int", "term": "string", "synonym_group": "int"}
+
+
+def _spellings(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rule_set_id, field, position, declared, spelling) of a rules table, and the declared required terms of each rule set."""
+    key = T.norm_text(T.strip(F.col("term")))
+    rows = rules.select("rule_set_id", "field", "position", "synonym_group", T.strip(F.col("term")).alias("term"), key.alias("key")).where("key <> ''")
+    # the first spelling of a term stands for its repeats
+    declared = rows.where(F.col("field").isin(*LIST_FIELDS)).groupBy("rule_set_id", "field", "key").agg(
+        F.min_by("term", "position").alias("declared"), F.min("position").alias("position")
+    )
+    members = rows.where("field = 'synonym_groups'").groupBy("rule_set_id", "synonym_group").agg(F.sort_array(F.collect_set("key")).alias("members"))
+    members = members.groupBy("rule_set_id", "members").agg(F.min("synonym_group").alias("synonym_group"))
+    numbered = members.withColumn("number", F.row_number().over(Window.partitionBy("rule_set_id").orderBy("synonym_group")) - 1)
+    group = numbered.select("rule_set_id", "number", F.explode("members").alias("spelling"))
+    own = declared.select("rule_set_id", "field", "position", "declared", F.col("key").alias("spelling"))
+    widened = own.where(~F.col("field").isin(*_PLAIN)).withColumnRenamed("spelling", "key")
+    widened = widened.join(numbered, (widened["rule_set_id"] == numbered["rule_set_id"]) & F.array_contains("members", F.col("key"))).select(
+        widened["rule_set_id"], "field", "position", "declared", F.explode("members").alias("spelling")
+    )
+    named = group.select("rule_set_id", F.lit("synonym_groups").alias("field"), F.col("number").alias("position"), F.format_string("group:%d", "number").alias("declared"), "spelling")
+    required = lambda name: F.transform(
+        F.array_sort(F.collect_list(F.when(F.col("field") == name, F.struct("position", "declared")))), lambda x: x["declared"]
+    )
+    needs = declared.groupBy("rule_set_id").agg(required("required_any_terms").alias("__any"), required("required_all_terms").alias("__all"))
+    sets = rows.select("rule_set_id").distinct().join(needs, "rule_set_id", "left")
+    none = F.array().cast("array<string>")
+    return own.unionByName(widened).unionByName(named).distinct(), sets.select("rule_set_id", F.coalesce("__any", none).alias("__any"), F.coalesce("__all", none).alias("__all"))
+
+
+def evaluate_table(df: DataFrame, parts: list[Column], rules: DataFrame, *, row_id: str = "ord") -> DataFrame:
+    """Rule sets of a table of any size against all rows: (``row_id``, rule_set_id, topic_fit) for each pair with at least one hit.
+
+    ``rules`` has :data:`RULE_COLUMNS`: one declared term a row, ``field`` one of :data:`LIST_FIELDS` or ``synonym_groups`` (then with its group's number).
+    Pairs without any hit are not written out, as their result depends on the rule set alone (:func:`verdict_without_hits`). All haystacks are built once
+    and meet all terms in one pass; the plan does not grow with the rules.
+    """
+    spelled, needs = _spellings(with_columns(rules, RULE_COLUMNS))
+    spelled = durable(spelled, "spellings")
+    found = match_terms(df, T.norm_text(T.joined(*parts)), spelled.select("spelling"), row_id=row_id, term="spelling")
+    hits = found.join(spelled, "spelling").groupBy(row_id, "rule_set_id").agg(F.sort_array(F.collect_set(F.struct("field", "position", "declared"))).alias("__hits"))
+    staged = hits.join(needs, "rule_set_id")
+    of = lambda name: F.transform(F.filter("__hits", lambda h: h["field"] == name), lambda h: h["declared"])
+    names = (*LIST_FIELDS, "synonym_groups")
+    staged = T.evaluate_once(staged, **{f"__m_{name}": of(name) for name in names})
+    return staged.select(row_id, "rule_set_id", _verdict({n: F.col(f"__m_{n}") for n in names}, F.col("__any"), F.col("__all")).alias("topic_fit"))
+
+
+def verdict_without_hits(rules: DataFrame) -> DataFrame:
+    """(rule_set_id, topic_fit) of a row in which no term of the rule set occurs."""
+    _, needs = _spellings(with_columns(rules, RULE_COLUMNS))
+    none = F.array().cast("array<string>")
+    return needs.select("rule_set_id", _verdict({n: none for n in (*LIST_FIELDS, "synonym_groups")}, F.col("__any"), F.col("__all")).alias("topic_fit"))
+
+
 def quality_reasons(fit: Column) -> Column:
     """Positive reasons of a matched row."""
     return F.when(fit["matched"], F.filter(fit["match_reasons"], lambda r: F.startswith(r, F.lit("topic_fit_")))).otherwise(
