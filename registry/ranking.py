@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from siftstone.functions import patterns
 from siftstone.operators import coverage, curate, judge, neardup, score
 from siftstone.operators import topic_fit as tf
 from siftstone.plans.candidates import plan_candidates
@@ -180,13 +181,43 @@ def time_spread(t):
 
 # ---- near duplicates ---------------------------------------------------------------------------------------------
 
-@query("near_duplicate_downrank")
+_STOPS = ", ".join(f"'{w}'" for w in patterns.STOP_TOKENS)
+_PROMOISH = ", ".join(f"'{r}'" for r in score.PROMOISH_REASONS)
+_LETTER = r"a-zA-Z0-9_\p{L}\p{N}"
+_CLEAN = (
+    f"""regexp_replace(regexp_replace(regexp_replace({fold("concat(coalesce(title, ''), ' ', coalesce(text, ''))")}, '(?:https?://|www\\.|t\\.co/)\\S+', ' ', 'g'),"""
+    f""" '(^|[^{_LETTER}])@[A-Za-z0-9_]{{1,15}}', '\\1 ', 'g'), '(^|[^{_LETTER}])#([{_LETTER}]+)', '\\1 \\2 ', 'g')"""
+)
+# the rule as it is told: walk by falling score, join the first representative that matches, else become one
+_NEAR_SQL = f"""{PLAIN_SQL}, {SCORE_SQL},
+tk AS (SELECT ord, id, quality_score, reasons, {fold("trim(coalesce(author, ''))")} AS au, list_has_any(reasons, [{_PROMOISH}]) AS pr,
+  list_filter([CASE WHEN regexp_full_match(x, '[0-9]+') THEN '0' ELSE x END FOR x IN regexp_extract_all({_CLEAN}, '[a-z0-9\\x{{131}}][a-z0-9\\x{{131}}_+-]*')],
+    lambda x: (length(x) >= 3 OR x = '0') AND NOT list_contains([{_STOPS}], x)) AS al FROM scored),
+sg AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY quality_score DESC, ord) AS r, list_distinct(al) AS tok, array_to_string(al[1:48], ' ') AS tkey, array_to_string(al[1:8], ' ') AS pkey
+  FROM tk WHERE len(al) >= 6 AND len(list_distinct(al)) >= 5),
+ex AS MATERIALIZED (SELECT r, unnest(tok) AS tn FROM sg),
+sh AS (SELECT a.r AS ar, b.r AS br, count(*) AS sh FROM ex a JOIN ex b ON a.tn = b.tn AND a.r < b.r GROUP BY a.r, b.r HAVING count(*) >= 5),
+pw AS (SELECT ar, br, sh, least(len(a.tok), len(b.tok)) AS sm, greatest(len(a.tok), len(b.tok)) AS bg,
+  a.tkey = b.tkey AS st, a.pkey = b.pkey AS sp, length(a.au) > 0 AND a.au = b.au AS sa, a.pr OR b.pr AS pp FROM sh JOIN sg a ON a.r = ar JOIN sg b ON b.r = br),
+mt AS MATERIALIZED (SELECT br, list(ar ORDER BY ar) AS mates FROM pw WHERE (st OR (sp AND sh / sm >= 0.75) OR (sh / sm >= 0.9 AND sh / (sm + bg - sh) >= 0.72)
+  OR (sa AND pp AND sh / sm >= 0.62) OR (pp AND sh / sm >= 0.72 AND sh / (sm + bg - sh) >= 0.55)) GROUP BY br),
+st AS MATERIALIZED (SELECT r, coalesce(mates, []) AS mates FROM sg LEFT JOIN mt ON br = r),
+walk(place, reps, leader) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(0 AS BIGINT) UNION ALL
+  SELECT r, CASE WHEN first IS NULL THEN list_append(reps, r) ELSE reps END, coalesce(first, r) FROM (
+    SELECT st.r, w.reps, list_min(list_filter(st.mates, lambda x: list_contains(w.reps, x))) AS first FROM walk w JOIN st ON st.r = w.place + 1)),
+cl AS (SELECT sg.*, l.ord AS leader_ord, leader, place = leader AS is_rep FROM walk JOIN sg ON sg.r = place JOIN sg l ON l.r = leader)"""
+
+
+@query("near_duplicate_downrank", f"""WITH RECURSIVE {_NEAR_SQL}, dup AS (SELECT ord, row_number() OVER (PARTITION BY leader ORDER BY r) AS k FROM cl WHERE NOT is_rep)
+SELECT s.ord, CAST(CASE WHEN k IS NULL THEN quality_score ELSE round(quality_score - least(4.0 + 1.5 * least(k, 3), 8.0), 3) END AS DOUBLE) AS quality_score,
+ array_to_string(CASE WHEN k IS NULL THEN reasons ELSE list_concat(reasons, ['near_duplicate_downrank', CASE WHEN list_has_any(reasons, [{_PROMOISH}]) THEN 'near_duplicate_promo_cluster' ELSE 'near_duplicate_template' END]) END, ',') AS reasons
+FROM scored s LEFT JOIN dup USING (ord)""")
 def near_duplicate_downrank(t):
     out = neardup.downrank(_scored(t), "id", "ord")
     return out.select("ord", "quality_score", F.array_join("quality_reasons", ",").alias("reasons"))
 
 
-@query("near_duplicate_clusters")
+@query("near_duplicate_clusters", f"WITH RECURSIVE {_NEAR_SQL} SELECT id AS row_id, leader_ord AS leader, is_rep FROM cl")
 def near_duplicate_clusters(t):
     ranked = _scored(t).withColumn("rank", F.struct((F.lit(0.0) - F.col("quality_score")).alias("s"), F.col("ord").alias("o")))
     found = neardup.clusters(ranked, "id")
