@@ -177,6 +177,19 @@ def ledger_line_numbers(t):
     return ledger.with_line_numbers(lines(t)).select("file", "seq", "line")
 
 
+@query("ledger_file_lines", """SELECT event_id, row_number() OVER (PARTITION BY event_id % 4 ORDER BY event_id) AS line FROM events""")
+def ledger_file_lines(t):
+    """Lines of ledger files as written, numbered from their splits' counts."""
+    import uuid
+
+    from siftstone.plans.skew import scratch_folder
+
+    base = f"{scratch_folder(t.spark)}/lines-{uuid.uuid4().hex}"
+    shards = t.events.select((F.col("event_id") % 4).alias("shard"), "event_id", F.to_json(F.struct("event_id", "event_type", "props")).alias("value"))
+    shards.repartition(4, "shard").sortWithinPartitions("shard", "event_id").select("shard", "value").write.partitionBy("shard").text(base)
+    return ledger.read_lines(t.spark, base, numbered=True).select(F.get_json_object("value", "$.event_id").cast("long").alias("event_id"), "line")
+
+
 _FILTERS = {
     "ledger_filter_numbers": (["count >= 1", "result.meta.attempt != 5", "count < 2"], "items = 1"),
     "ledger_filter_equal": (["channel == feed", "ok == true", "result.items.0.author == user7"], "channel = 'feed' AND NOT failed AND user_id = 7"),

@@ -9,7 +9,7 @@ from __future__ import annotations
 import os
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -21,17 +21,19 @@ SCHEMA_VERSION = "2026-04-10"
 LARGE_TEXT_CHARS = 10_000
 LARGE_RAW_CHARS = 100_000
 SAMPLE_LIMIT = 50
+#: splits whose line offsets are broadcast
+SPLITS_BOUND = 1 << 22
 _META = ("intent", "query_id", "source_role")
 
 
 # ---- scan --------------------------------------------------------------------------------------------------------
 
 
-def read_lines(spark: SparkSession, path: str, *, exclude: str | None = None) -> DataFrame:
+def read_lines(spark: SparkSession, path: str, *, exclude: str | None = None, numbered: bool = False) -> DataFrame:
     """Physical lines of one ledger file or of every text shard below a folder (``*.jsonl``, or ``part-*`` files as written here).
 
     Lines break on LF only, so Unicode separators inside strings stay; a trailing CR is removed. ``exclude`` is the path of one file to leave out. A
-    path that holds no shard is an error.
+    path that holds no shard is an error. ``numbered`` adds ``line``, the 1-based line of each file, without moving any line.
     """
     reader = spark.read.option("lineSep", "\n")
     if not str(path).endswith(".jsonl"):
@@ -45,6 +47,8 @@ def read_lines(spark: SparkSession, path: str, *, exclude: str | None = None) ->
         F.col("_metadata.file_block_start").alias("block_start"),
         F.monotonically_increasing_id().alias("seq"),
     )
+    if numbered:
+        raw = _numbered(raw)
     if exclude is not None:
         whole = lambda c: F.regexp_replace(c, "^[A-Za-z][A-Za-z0-9+.-]*:/*", "/")
         other = str(exclude) if "/" in str(exclude) else f"{str(path).rstrip('/')}/{exclude}"
@@ -52,13 +56,29 @@ def read_lines(spark: SparkSession, path: str, *, exclude: str | None = None) ->
     return raw
 
 
+def _numbered(raw: DataFrame) -> DataFrame:
+    """Lines as the reader gives them, with ``line``.
+
+    The lines of one split stand in order in one task, so ``seq`` counts them without gaps: only the counts of the splits are summed up (16 bytes a split,
+    broadcast up to :data:`SPLITS_BOUND` of them) and added to the place inside the split.
+    """
+    split = F.xxhash64("file", "block_start")
+    sizes = raw.groupBy("file", "block_start").agg(F.min("seq").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("file").orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("n").over(before), F.lit(0)) + 1 - F.col("first")
+    offsets = durable(sizes.select(split.alias("__split"), F.col("block_start").alias("__start"), offset.alias("__offset")), "splits")
+    offsets = F.broadcast(offsets) if offsets.count() <= SPLITS_BOUND else offsets
+    lines = raw.withColumn("__split", split).withColumn("__start", F.col("block_start"))
+    return lines.join(offsets, ["__split", "__start"]).select(*raw.columns, (F.col("seq") + F.col("__offset")).alias("line"))
+
+
 def line_order() -> Column:
     """First-seen order of lines: lower-cased path, path, split start, position inside the split."""
     return F.struct(F.lower("file").alias("f"), F.col("file").alias("g"), F.col("block_start").alias("b"), F.col("seq").alias("s"))
 
 
 def with_line_numbers(lines: DataFrame) -> DataFrame:
-    """Add the 1-based ``line`` inside each file (only when a caller needs it: one range shuffle)."""
+    """Add the 1-based ``line`` inside each file, for lines of any origin: one range shuffle. Files are numbered by :func:`read_lines` itself."""
     return number_within(lines, ["file"], ["block_start", "seq"], position="line")
 
 
