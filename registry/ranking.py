@@ -8,7 +8,7 @@ from siftstone.functions import patterns
 from siftstone.operators import coverage, curate, judge, neardup, score
 from siftstone.operators import topic_fit as tf
 from siftstone.plans.candidates import plan_candidates
-from siftstone.plans.mission import Mission, curate_mission
+from siftstone.plans.mission import Mission, curate_mission, fill_gaps
 
 from .base import MARKED_SQL, POSTS_SQL, SIGHT_SQL, fold, query
 from .filters import FIT_SQL, MASK, PROMO, RULES, squeezed
@@ -427,3 +427,31 @@ def mission_report(t):
 def mission_target(t):
     out = curate_mission(t.posts(), MISSION).target()
     return out.withColumn("reasons", F.array_join("reasons", ","))
+
+
+_HOT = "CASE WHEN event_id % 3 <> 0 THEN 'hot' WHEN event_id % 30 > 0 THEN concat('q', user_id % 10) END"
+
+
+@query("mission_fair_share", f"""WITH s AS (SELECT event_id AS ord, {_HOT} AS query_id FROM events),
+q AS (SELECT 'hot' AS query_id, CAST(NULL AS INT) AS own UNION ALL SELECT concat('q', n), CASE n WHEN 1 THEN 7 WHEN 2 THEN 30 END FROM range(9) t(n) UNION ALL SELECT 'never', NULL),
+n AS (SELECT s.*, coalesce(own, CAST(ceil(100 / (SELECT count(*) FROM q)) AS INT)) AS share, row_number() OVER (PARTITION BY s.query_id ORDER BY ord) AS k FROM s JOIN q USING (query_id))
+SELECT ord, query_id FROM n WHERE k <= share UNION ALL SELECT ord, query_id FROM s WHERE query_id IS NULL""")
+def mission_fair_share(t):
+    sightings = t.events.select(F.col("event_id").alias("ord"), F.expr(_HOT).alias("query_id"))
+    planned = [("hot", None), ("never", None), *[(f"q{n}", {1: 7, 2: 30}.get(n)) for n in range(9)]]
+    queries = t.spark.createDataFrame(planned, "query_id string, limit int")
+    return Mission(target_posts=100).fair_share(sightings, queries)
+
+
+GAPS = Mission(
+    target_posts=60, require_query_match=False, quality_profile="recall", languages=("en",), objective="latency", max_gap_queries=3, max_posts_per_author=None,
+    topics=(coverage.Topic("coupons", "Coupons", ("coupon",), ("coupon", "shop"), min_posts=6), coverage.Topic("none", "none", ("zzqx",), ("zzqx",)),
+            coverage.Topic("tests", "Tests", ("latency",), min_posts=3)),
+)
+
+
+@query("mission_with_gap_fill")
+def mission_with_gap_fill(t):
+    """Collected so far: posts of the documents that follow someone; everything can be searched."""
+    posts = t.posts()
+    return fill_gaps(posts.where(F.contains("text", F.lit("follow @one"))), posts, GAPS).gaps()

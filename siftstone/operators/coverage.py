@@ -175,13 +175,16 @@ def _query_key(input_: Column, lang: Column) -> list[Column]:
 
 
 def gap_queries(
-    topic_report: DataFrame, follow: DataFrame, planned: DataFrame, *, max_queries: int = 4
+    topic_report: DataFrame, follow: DataFrame, planned: DataFrame, *, max_queries: int = 4, declared: Sequence[str] | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """New queries for topics with a gap, within the budget, and the report marked with what blocked the rest.
 
+    A reported topic that is not among the ``declared`` ids (by default: every reported one is) has no queries and is marked so.
+
     Planned queries (input, lang) are removed by an anti join; a key proposed twice stays with its first topic.
     """
-    gaps = topic_report.where("gap > 0").select("topic_order", "gap")
+    known = F.lit(True) if declared is None else F.col("topic_id").isin(*declared)
+    gaps = topic_report.where("gap > 0").where(known).select("topic_order", "gap")
     keyed = follow.join(gaps, "topic_order").select("*", *_query_key(F.col("input"), F.col("lang")))
     taken = planned.select(*_query_key(F.col("input"), F.col("lang"))).distinct()
     fresh = keyed.join(taken, ["k_input", "k_lang"], "left_anti")
@@ -218,6 +221,7 @@ def gap_queries(
         F.coalesce("planned", F.lit(0)).cast("long").alias("planned_query_count"),
         F.when(F.col("gap") <= 0, F.lit(None))
         .when(F.col("spent") >= max_queries, F.lit("query_budget_exhausted"))
+        .when(~known, F.lit("topic_not_declared"))
         .when(F.coalesce("planned", F.lit(0)) == 0, F.lit("no_new_followup_query"))
         .alias("blocked_reason"),
     )
