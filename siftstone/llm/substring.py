@@ -25,6 +25,8 @@ WINDOW, MINI = 13, 3
 #: bytes of packed strings a bucket is laid out for, the number of buckets from which they grow instead, and the least weight of a heavy minimiser
 BUCKET_BYTES, MAX_BUCKETS, LEAST_HEAVY = 12 << 20, 50_000, 1 << 20
 SAMPLE = 1 / 16
+#: bytes of text whose packed strings share a row per bucket key (long rows compress better), and how hard they are compressed
+PACK_BYTES, LEVEL = 4 << 20, 6
 _U = np.uint64
 
 
@@ -90,8 +92,9 @@ def _pack_task(k: int, m: int, heavy: np.ndarray, keys: int):
     """Packed strings by bucket key; those of one block of texts for one key are one compressed row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", compression_level=LEVEL)
         for batch in batches:
-            for part in blocks(batch):
+            for part in blocks(batch, limit=PACK_BYTES):
                 w = words(as_bytes(part.column(part.schema.get_field_index("text"))))
                 mini, at = _minimisers(w, k, m)
                 own = np.isin(mini, heavy) if len(heavy) else np.zeros(len(at), bool)
@@ -117,7 +120,7 @@ def _pack_task(k: int, m: int, heavy: np.ndarray, keys: int):
                     strings = [text[lo[i] : hi[i]] for i in some.tolist()]
                     size = np.fromiter(map(len, strings), np.int32, len(strings))
                     raw = b"".join([np.int32(len(some)).tobytes(), ids[some].tobytes(), start[some].tobytes(), size.tobytes(), *strings])
-                    for into, value in zip(rows, (int(key[some[0]]), len(raw), pa.compress(raw, codec="zstd", asbytes=True)), strict=True):
+                    for into, value in zip(rows, (int(key[some[0]]), len(raw), codec.compress(raw, asbytes=True)), strict=True):
                         into.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.binary())], ["bucket", "size", "packed"])
 
