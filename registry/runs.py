@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from siftstone.functions.values import error_category, error_retryable, throttle_sensitive
 from siftstone.operators import batch
+from siftstone.sources import ledger
 
 from .base import query
 
@@ -138,3 +139,34 @@ def resume_only_ok(t):
         F.lit("web").alias("channel"), text.alias("input"), F.array().cast("array<string>").alias("defaulted_fields"), (F.col("o_orderstatus") != "F").alias("ok")
     )
     return batch.pending_queries(plan, done, only_ok=True).select("o_orderkey")
+
+
+@query("resume_from_ledger", """WITH done AS (SELECT DISTINCT o_custkey, o_orderpriority FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 7 > 1)
+SELECT o_orderkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM done d WHERE d.o_custkey = o.o_custkey AND d.o_orderpriority = o.o_orderpriority
+ AND o.o_custkey % 2 = 0 AND (o.o_orderkey % 2 = 0 OR o.o_custkey % 3 = 2))""")
+def resume_from_ledger(t):
+    """Plan queries that no ledger line of an earlier run answers, by the defaults each line recorded and its own quality profile."""
+    o, n, c = t.orders, F.col("o_orderkey"), F.col("o_custkey")
+    text = F.concat(F.lit("customer "), c.cast("string"))
+    profile = F.when(c % 3 == 0, "precision").when(c % 3 == 1, "balanced").otherwise("recall")
+    given = F.when(c % 3 == 2, F.array(F.lit("links"))).otherwise(F.array(F.lit("retweets"), F.lit("links"), F.lit("replies")))
+    meta = F.struct(
+        text.alias("input"),
+        F.lit(50).alias("requested_limit"),
+        profile.alias("quality_profile"),
+        F.lit("top").alias("search_type"),
+        F.lit(280).alias("item_text_max_chars"),
+        given.alias("exclude"),
+        # a default that the field no longer has stays part of the query
+        F.struct(F.when(c % 2 == 0, "top").otherwise("latest").alias("search_type"), F.lit(280).alias("item_text_max_chars"), given.alias("exclude")).alias("applied_defaults"),
+    )
+    result = F.struct((F.col("o_orderstatus") != "F").alias("ok"), F.lit("web").alias("channel"), F.lit("search").alias("operation"), meta.alias("meta"))
+    kind = F.when(n % 7 == 1, "note").otherwise("collection_result")
+    line = F.to_json(F.struct(kind.alias("record_type"), F.lit("web").alias("channel"), F.col("o_orderpriority").alias("intent"), result.alias("result")))
+    line = F.when(n % 7 == 0, F.substring(line, 1, 40)).otherwise(line)
+    lines = o.where(_DONE).select(line.alias("value"), F.lit("run.jsonl").alias("file"), F.lit(0).cast("bigint").alias("block_start"), n.alias("seq"))
+    plan = o.select(
+        "o_orderkey", F.lit("web").alias("channel"), F.lit("search").alias("operation"), text.alias("input"), F.lit(50).alias("limit"),
+        F.col("o_orderpriority").alias("intent"), profile.alias("quality_profile"), F.when(n % 2 == 0, F.array(F.lit("links"))).alias("exclude"),
+    )
+    return batch.pending_queries(plan, ledger.executed_queries(ledger.parse(lines))).select("o_orderkey")

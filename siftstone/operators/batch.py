@@ -16,49 +16,77 @@ KEY_FIELDS = (
     "min_retweets min_views originals_only topic_fit quality_profile raw_mode raw_max_bytes item_text_mode "
     "item_text_max_chars"
 ).split()
-DEFAULTABLE = ("search_type", "originals_only")
+#: fixed values: the scalar fields a run may fill in by itself
+DEFAULTABLE = ("search_type", "originals_only", "raw_mode", "item_text_mode", "item_text_max_chars")
+
+
+def _key_part(df: DataFrame, name: str) -> Column:
+    if name not in df.columns:
+        return F.lit(None).cast("string")
+    kind = dict(df.dtypes)[name]
+    if kind.startswith(("array", "map", "struct", "variant")):
+        return F.to_json(F.col(name))
+    if name == "topic_fit":
+        # equal rules in any spelling and order of keys are one query
+        return F.coalesce(F.to_json(F.try_parse_json(F.col(name).cast("string"))), F.col(name).cast("string"))
+    return F.col(name).cast("string")
 
 
 def query_key(df: DataFrame) -> Column:
-    """Digest of the identity fields; null and missing are the same, arrays keep their order."""
-    parts = []
-    for name in KEY_FIELDS:
-        if name not in df.columns:
-            parts.append(F.lit(None).cast("string").alias(name))
-        elif dict(df.dtypes)[name].startswith("array"):
-            parts.append(F.to_json(F.col(name)).alias(name))
-        else:
-            parts.append(F.col(name).cast("string").alias(name))
-    return F.sha2(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}), 256)
-
-
-def resume_keys(completed: DataFrame, defaulted: str = "defaulted_fields", defaults: tuple[str, ...] = DEFAULT_EXCLUDES["balanced"]) -> DataFrame:
-    """Keys a finished query may be resumed under.
+    """Digest of the identity fields; null and missing are the same, arrays keep their order, ``topic_fit`` is compared as JSON."""
+    return F.sha2(F.to_json(F.struct(*[_key_part(df, n).alias(n) for n in KEY_FIELDS]), {"ignoreNullFields": "false"}), 256)
+
+
+def _was_default(completed: DataFrame, name: str, defaulted: str, applied: str) -> Column:
+    """Whether the run filled in a field: by the value it recorded for it, or by the field's name alone where only names are recorded."""
+    if applied in completed.columns:
+        return F.coalesce(F.element_at(F.col(applied), name) == F.col(name).cast("string"), F.lit(False))
+    return F.array_contains(F.coalesce(F.col(defaulted), F.array().cast("array<string>")), name)
 
-    A run records its filled-in defaults, so the same query is also known without them: scalar defaults removed, and every
-    proper subset of the defaulted excludes (at most four variants with two default excludes).
+
+def _exclude_variants(completed: DataFrame) -> Column:
+    """The excludes of a finished query and all it may have been asked with, by the default excludes of its own quality profile.
+
+    Without default excludes (no profile, or one that sets none) the query may have been asked with none at all.
     """
-    fields = F.coalesce(F.col(defaulted), F.array().cast("array<string>"))
-    stripped = {n: F.when(F.array_contains(fields, n), F.lit(None)).otherwise(F.col(n)) for n in DEFAULTABLE if n in completed.columns}
-    scalar = completed.withColumns(stripped)
-    both = completed.unionByName(scalar)
-    if "exclude" not in completed.columns:
-        return both.select(query_key(both).alias("query_key")).distinct()
-    subsets = [list(c) for size in range(len(defaults)) for c in combinations(defaults, size)]
     values = F.col("exclude")
-    def without_defaults(keep: list[str]) -> Column:
-        removed = [d for d in defaults if d not in keep]
+    profile = F.col("quality_profile") if "quality_profile" in completed.columns else F.lit(None).cast("string")
+
+    def without(removed: list[str]) -> Column:
         return F.filter(values, lambda v: ~v.isin(*removed))
 
-    variants = F.array(values, *[without_defaults(keep) for keep in subsets])
-    can_vary = F.array_contains(fields, "exclude") & values.isNotNull()
-    varied = both.withColumn("exclude", F.explode(F.when(can_vary, variants).otherwise(F.array(values))))
+    variants = F.array(values, F.lit(None).cast("array<string>"))
+    for name, defaults in DEFAULT_EXCLUDES.items():
+        dropped = [c for size in range(len(defaults), 0, -1) for c in combinations(defaults, size)]
+        variants = F.when(profile == name, F.array(values, *[without(list(c)) for c in dropped])).otherwise(variants)
+    return variants
+
+
+def resume_keys(completed: DataFrame, defaulted: str = "defaulted_fields", applied: str = "applied_defaults") -> DataFrame:
+    """Keys a finished query may be resumed under.
+
+    A run records the defaults it filled in, so the same query is also known without them: scalar defaults removed, and each way of leaving out default
+    excludes of the row's quality profile (at most four variants with two default excludes). ``applied`` is a map from field to the value filled in, which
+    counts only while the field still has that value; without such a column ``defaulted`` lists the names of the fields.
+    """
+    if applied not in completed.columns and defaulted not in completed.columns:
+        return completed.select(query_key(completed).alias("query_key")).distinct()
+    stripped = {n: F.when(~_was_default(completed, n, defaulted, applied), F.col(n)) for n in DEFAULTABLE if n in completed.columns}
+    both = completed.unionByName(completed.withColumns(stripped)) if stripped else completed
+    if "exclude" not in completed.columns:
+        return both.select(query_key(both).alias("query_key")).distinct()
+    filled = F.map_contains_key(F.col(applied), "exclude") if applied in completed.columns else F.array_contains(F.col(defaulted), "exclude")
+    can_vary = F.coalesce(filled, F.lit(False)) & (F.coalesce(F.size("exclude"), F.lit(0)) > 0)
+    varied = both.withColumn("exclude", F.explode(F.when(can_vary, _exclude_variants(completed)).otherwise(F.array("exclude"))))
     varied = varied.withColumn("exclude", F.when(F.size("exclude") > 0, F.col("exclude")))
     return varied.select(query_key(varied).alias("query_key")).distinct()
 
 
 def pending_queries(plan: DataFrame, completed: DataFrame, *, only_ok: bool = False, defaulted: str = "defaulted_fields") -> DataFrame:
-    """Plan queries not yet in the log. Failed queries count as finished unless ``only_ok``."""
+    """Plan queries not yet in the log, all columns kept. Failed queries count as finished unless ``only_ok``.
+
+    ``completed`` may be a run's log or the queries a ledger holds (:func:`siftstone.sources.ledger.executed_queries`).
+    """
     done = completed.where("ok") if only_ok else completed
     keyed = plan.withColumn("query_key", query_key(plan))
     return keyed.join(resume_keys(done, defaulted), "query_key", "left_anti").drop("query_key")

@@ -173,6 +173,43 @@ def skipped_records(parsed: DataFrame) -> DataFrame:
     return both.agg(F.sum(F.col("n") * F.col("sign")).alias("skipped_records"))
 
 
+def executed_queries(parsed: DataFrame) -> DataFrame:
+    """The queries whose results a ledger holds: identity fields, ``ok`` and ``applied_defaults``, as :func:`siftstone.operators.batch.resume_keys` takes them.
+
+    One row per collection record with a channel, an operation and an input, whatever else it lacks; other lines are left out. Provenance comes from the
+    record and otherwise from the result or its meta. ``exclude`` and ``has`` given as one text become a list of one.
+    """
+    staged = objects(parsed).where(_get(F.col("rec"), "record_type") == "collection_result")
+    staged = T.evaluate_once(staged, meta=_get(F.col("rec"), "result.meta", "variant"))
+    rec, meta = F.col("rec"), F.col("meta")
+    filled = lambda c: F.when(F.length(c) > 0, c)
+
+    def listed(name: str) -> Column:
+        return F.coalesce(_get(meta, name, "array<string>"), F.when(_kind(meta, name) == "STRING", F.array(_get(meta, name))))
+
+    plain = (
+        "since until from_user to_user lang search_type min_likes min_retweets min_views originals_only quality_profile raw_mode raw_max_bytes "
+        "item_text_mode item_text_max_chars"
+    ).split()
+    found = staged.select(
+        F.coalesce(filled(_get(rec, "channel")), filled(_get(rec, "result.channel"))).alias("channel"),
+        F.coalesce(filled(_get(rec, "operation")), filled(_get(rec, "result.operation"))).alias("operation"),
+        F.coalesce(_get(rec, "input"), _get(meta, "input")).alias("input"),
+        F.coalesce(_get(meta, "requested_limit"), _get(meta, "limit")).alias("limit"),
+        F.coalesce(_get(rec, "intent"), _get(meta, "intent")).alias("intent"),
+        *[_get(meta, n).alias(n) for n in plain],
+        listed("has").alias("has"),
+        listed("exclude").alias("exclude"),
+        F.to_json(_get(meta, "topic_fit", "variant")).alias("topic_fit"),
+        F.coalesce(_get(rec, "result.ok", "boolean"), _get(rec, "ok", "boolean"), F.lit(False)).alias("ok"),
+        F.map_filter(
+            F.transform_values(_get(meta, "applied_defaults", "map<string,variant>"), lambda _, v: F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v))),
+            lambda _, v: v.isNotNull(),
+        ).alias("applied_defaults"),
+    )
+    return found.where((F.length("channel") > 0) & (F.length("operation") > 0) & (F.length("input") > 0))
+
+
 IDENTIFIERS = ("domain", "author_handle", "post_id", "conversation_id")
 
 
