@@ -151,7 +151,8 @@ def oracle_sql(rounds: int = ROUNDS, fraction: float = FRACTION, temper: dict[st
     steps = [s.replace(" AS (", " AS MATERIALIZED (", 1) for s in steps]
     return f"""WITH {', '.join(steps)},
 p AS (SELECT d.doc_id, d.source, d.lang, d.topic, d.tokens,
-  CASE WHEN s.tokens > 0 THEN least(1.0, {fraction} * s.fitted / s.tokens) ELSE 0.0 END AS probability,
+  CASE WHEN s.tokens > 0 THEN {fraction} * s.fitted / s.tokens ELSE 0.0 END AS weight,
   CAST(concat('0x', substr(md5(CAST(d.doc_id AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0 AS draw
   FROM d JOIN s{k} s ON d.source IS NOT DISTINCT FROM s.source AND d.lang IS NOT DISTINCT FROM s.lang AND d.topic IS NOT DISTINCT FROM s.topic)
-SELECT doc_id, source, lang, topic, tokens, round(probability, 6) AS probability, draw < probability AS kept FROM p"""
+SELECT doc_id, source, lang, topic, tokens, round(least(1.0, weight), 6) AS probability, draw < least(1.0, weight) AS kept,
+  CAST(floor(weight) + CAST(draw < weight - floor(weight) AS INT) AS BIGINT) AS copies FROM p"""

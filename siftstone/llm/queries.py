@@ -39,6 +39,7 @@ def op3(spark, sf_dir):
         mixing.tokens_of(F.col("text")).alias("tokens"),
         F.round("mix_probability", 6).alias("probability"),
         F.col("mix_kept").alias("kept"),
+        F.col("mix_copies").alias("copies"),
     )
 
 
