@@ -30,11 +30,15 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity of 0.8 or more), the one of least id; rows without id stay."""
+    """One document of each group of near duplicates (five-word shingles, similarity of 0.8 or more), the one of least id; rows without id stay.
+
+    Of rows with one id the first by their content stays (columns that cannot be ordered left aside).
+    """
     configure(spark)
     dropped = durable(near_duplicates(docs, shingle=5).where("NOT kept").select(F.col("doc_id").alias("__dropped")), "dropped")
     named = docs.where("doc_id IS NOT NULL").join(dropped, F.col("doc_id") == F.col("__dropped"), "left_anti")
-    first = named.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))).where("__n = 1")
+    rest = [c for c, t in docs.dtypes if c != "doc_id" and not any(k in t for k in ("map<", "variant"))]
+    first = named.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy(*(rest or ["doc_id"])))).where("__n = 1")
     return first.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
