@@ -68,7 +68,7 @@ STAGES = [
     ("sharding", shard),
 ]
 
-#: sketches, sampling by a fitted model and a heap have no SQL; the tests check columns and ids of the stages, no plain version of the whole
+#: sampling by a fitted model and a heap have no SQL; the tests hold each stage and the whole against plain Python
 ORACLE_SQL = None
 
 
