@@ -72,7 +72,11 @@ def resume_keys(completed: DataFrame, defaulted: str = "defaulted_fields", appli
     if applied not in completed.columns and defaulted not in completed.columns:
         return completed.select(query_key(completed).alias("query_key")).distinct()
     stripped = {n: F.when(~_was_default(completed, n, defaulted, applied), F.col(n)) for n in DEFAULTABLE if n in completed.columns}
-    both = completed.unionByName(completed.withColumns(stripped)) if stripped else completed
+    # each row as it is and without its defaults; one pass, as the rows may be parsed out of a ledger's lines
+    both = completed
+    if stripped:
+        both = completed.withColumn("__bare", F.explode(F.array(F.lit(False), F.lit(True))))
+        both = both.withColumns({n: F.when(F.col("__bare"), c).otherwise(F.col(n)) for n, c in stripped.items()}).drop("__bare")
     if "exclude" not in completed.columns:
         return both.select(query_key(both).alias("query_key")).distinct()
     filled = F.map_contains_key(F.col(applied), "exclude") if applied in completed.columns else F.array_contains(F.col(defaulted), "exclude")
@@ -85,11 +89,12 @@ def resume_keys(completed: DataFrame, defaulted: str = "defaulted_fields", appli
 def pending_queries(plan: DataFrame, completed: DataFrame, *, only_ok: bool = False, defaulted: str = "defaulted_fields") -> DataFrame:
     """Plan queries not yet in the log, all columns kept. Failed queries count as finished unless ``only_ok``.
 
-    ``completed`` may be a run's log or the queries a ledger holds (:func:`siftstone.sources.ledger.executed_queries`).
+    ``completed`` may be a run's log or the queries a ledger holds (:func:`siftstone.sources.ledger.executed_queries`). The keys of a log are as many as its
+    lines, and Spark's guess of their size, taken through the expressions that parse a line, is far too low: both sides are sorted, none is broadcast.
     """
     done = completed.where("ok") if only_ok else completed
     keyed = plan.withColumn("query_key", query_key(plan))
-    return keyed.join(resume_keys(done, defaulted), "query_key", "left_anti").drop("query_key")
+    return keyed.join(resume_keys(done, defaulted).hint("merge"), "query_key", "left_anti").drop("query_key")
 
 
 def plan_summary(plan: DataFrame) -> DataFrame:
