@@ -148,7 +148,8 @@ class Tables:
         n_docs, n_pages = max(self.documents.count(), 1), max(self.pages.count(), 1)
         e = self.events.withColumn("k", F.col("event_id") % n_docs).withColumn("page_id", (F.col("k") + F.col("user_id")) % n_pages)
         docs = self.marked().select(F.col("doc_id").alias("k"), "text")
-        rows = e.join(docs, "k", "left").join(self.pages.select("page_id", "url"), "page_id", "left")
+        # texts come last: a join behind them would move them again, once per sighting
+        rows = e.join(self.pages.select("page_id", "url"), "page_id", "left").join(docs, "k", "left")
         text = lambda prefix, col: F.concat(F.lit(prefix), F.col(col).cast("string"))
         n = F.col("event_id")
         topic = F.col("user_id") % 10

@@ -36,7 +36,11 @@ def post_filter(
     max_per_author: int | None = None,
 ) -> PostFiltered:
     """Noise, topic fit, seen-in, title duplicate and author cap, in this order; each row is dropped by the first stage it
-    fails. With active topic rules the query-match fallback is off."""
+    fails. With active topic rules the query-match fallback is off.
+
+    Decisions are written with the row's ``candidate_key`` and ``first_ord``, which name it, and no other column; the rows themselves are joined to them
+    afterwards, so a text moves only where the caller asks for it.
+    """
     require_query_match = require_query_match and not rules.enabled
     none = F.array().cast("array<string>")
     stages: list[Column] = []
@@ -65,26 +69,37 @@ def post_filter(
     first = none
     for i in reversed(range(len(stages))):
         first = F.when(F.size(f"__stage{i}") > 0, F.col(f"__stage{i}")).otherwise(first)
-    staged = staged.withColumn("drop_reasons", first).drop(*[f"__stage{i}" for i in range(len(stages))])
-    staged = durable(staged, "staged")
+    groups = {}
+    if drop_title_duplicates:
+        groups["__title"] = T.title_key(F.col("title"))
+    if max_per_author is not None:
+        groups["__author"] = T.author_key(F.col("author"))
+    named = ("candidate_key", "first_ord")
+    staged = durable(staged.select(*named, first.alias("drop_reasons"), *[key.alias(name) for name, key in groups.items()]), "staged")
     kept = staged.where(F.size("drop_reasons") == 0)
     counts = [noise.reason_counts(staged, "drop_reasons")]
     alone = F.concat(F.lit("\0"), F.col("candidate_key"))  # rows without a key form a group of their own
 
+    def rows_of(decided: DataFrame, how: str) -> DataFrame:
+        few = decided.select(*[F.col(n).alias(f"__{n}") for n in named], *[c for c in decided.columns if c == "drop_reasons"])
+        on = [F.col(n).eqNullSafe(F.col(f"__{n}")) for n in named]
+        return candidates.join(few, on, how).drop(*[f"__{n}" for n in named])
+
     def over_cap(df: DataFrame, key: Column, cap: int, reason: str) -> DataFrame:
         sizes = df.where(key.isNotNull()).groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("n"))
         dropped = F.coalesce(F.sum(F.greatest(F.col("n") - cap, F.lit(0))), F.lit(0)).cast("long")
         return sizes.agg(dropped.alias("count")).where("count > 0").select(F.lit(reason).alias("reason"), "count")
 
     if drop_title_duplicates:
-        key = T.title_key(F.col("title"))
+        key = F.col("__title")
         counts.append(over_cap(kept, key, 1, "title_duplicate"))
         kept = top_per_group(kept, [F.coalesce(key, alone)], [F.col("first_ord")], 1).drop("__rn")
     if max_per_author is not None:
-        key = T.author_key(F.col("author"))
+        key = F.col("__author")
         counts.append(over_cap(kept, key, max_per_author, "author_cap"))
         kept = top_per_group(kept, [F.coalesce(key, alone)], [F.col("first_ord")], max_per_author).drop("__rn")
-    return PostFiltered(kept.drop("drop_reasons"), reduce(DataFrame.unionByName, counts), staged)
+    survivors = rows_of(durable(kept.select(*named), "kept"), "left_semi")
+    return PostFiltered(survivors, reduce(DataFrame.unionByName, counts), rows_of(staged, "inner"))
 
 
 def drop_keywords(df: DataFrame, keywords: Sequence[str]) -> tuple[DataFrame, DataFrame]:
