@@ -22,6 +22,14 @@ _NFKC_STABLE = (
 )
 
 
+def _outside(ranges: str) -> str:
+    """Pattern of a character outside of ranges that hold all of ASCII.
+
+    A class of many ranges tests them one by one for each character of a text; here one range answers for ASCII and the others are only asked about the rest.
+    """
+    return rf"[^\x00-\x7F](?<![{ranges}])"
+
+
 @lru_cache(maxsize=1)
 def _fold_rule() -> dict[str, str]:
     """Code points that plain lower-casing leaves alone but full case folding changes (from the Unicode data)."""
@@ -44,7 +52,7 @@ _FOLD_SAFE = (
 @lru_cache(maxsize=1)
 def _fold_class() -> str:
     assert not any(a <= ord(c) <= b for c in _fold_rule() if c != "\u00df" for a, b in _FOLD_SAFE)
-    return "[^" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in _FOLD_SAFE) + "]"
+    return _outside("".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in _FOLD_SAFE))
 
 
 def let(value: Column, body) -> Column:
@@ -72,11 +80,15 @@ def casefold(col: Column) -> Column:
     """
     pairs = "\t".join(f"{char}\b{folded}" for char, folded in _fold_rule().items())
     table = F.str_to_map(F.lit(pairs), F.lit("\t"), F.lit("\b"))
-    low = F.replace(F.lower(col), F.lit("\u00df"), F.lit("ss"))  # by far the most frequent special letter
-    return F.when(
-        (F.octet_length(low) > F.length(low)) & low.rlike(_fold_class()),
-        F.array_join(F.transform(F.split(low, ""), lambda c: F.coalesce(F.element_at(table, c), c)), ""),
-    ).otherwise(low)
+
+    def fold(low: Column) -> Column:
+        return F.when(
+            (F.octet_length(low) > F.length(low)) & low.rlike(_fold_class()),
+            F.array_join(F.transform(F.split(low, ""), lambda c: F.coalesce(F.element_at(table, c), c)), ""),
+        ).otherwise(low)
+
+    # by far the most frequent special letter is replaced at once; the lowered text is used five times
+    return let(F.replace(F.lower(col), F.lit("\u00df"), F.lit("ss")), fold)
 
 
 def squeeze(col: Column) -> Column:
@@ -112,8 +124,9 @@ def norm_text(col: Column) -> Column:
     Spark has no NFKC. Rows made of NFKC-stable characters stay in the JVM; the others alone carry their text to the
     Arrow function (the rest are sent as null).
     """
-    unstable = col.rlike(f"[^{_NFKC_STABLE}]")
-    return squeeze(casefold(F.when(unstable, _nfkc(F.when(unstable, col))).otherwise(col)))
+    unstable = (F.octet_length(col) > F.length(col)) & col.rlike(_outside(_NFKC_STABLE))
+    # what the function returns is null exactly where it got null, so the pattern is tried once per text
+    return squeeze(casefold(F.coalesce(_nfkc(F.when(unstable, col)), col)))
 
 
 def norm_literal(value: object) -> str:
