@@ -118,3 +118,18 @@ def test_query_table_refuses_what_it_cannot_find(spark):
     for bad in ("from:ann", "agent has:smell"):
         with pytest.raises(ValueError, match="word|has"):
             search.search_table(rows, spark.createDataFrame([(bad,)], "query string"), limit=2)
+
+
+def test_hits_of_rule_sets_stay_in_their_task(spark):
+    """No hit is shuffled; rows under one id still count together."""
+    from siftstone.operators import topic_fit as tf
+
+    rules = [("r1", "preferred_terms", 1, "ab", None), ("r1", "preferred_terms", 2, "cd", None), ("r2", "exact_phrases", 1, "cd", None)]
+    table = spark.createDataFrame(rules, "rule_set_id string, field string, position int, term string, synonym_group int")
+    rows = spark.createDataFrame([(1, "x ab"), (1, "cd y"), (2, "ab cd"), (3, "zz"), (4, None)], "ord long, text string")
+    out = tf.evaluate_table(rows, [F.col("text")], table)
+    got = {(r["ord"], r["rule_set_id"]): (r["topic_fit"]["matched_terms"], r["topic_fit"]["score_bonus"]) for r in out.collect()}
+    both = ({"preferred_terms": ["ab", "cd"]}, 2.0), ({"exact_phrases": ["cd"]}, 2.0)
+    assert got == {(1, "r1"): both[0], (1, "r2"): both[1], (2, "r1"): both[0], (2, "r2"): both[1]}
+    plan = tf.evaluate_table(rows.where("ord > 1"), [F.col("text")], table)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan
