@@ -138,14 +138,23 @@ def check_strict(parsed: DataFrame) -> None:
         raise ValueError(f"invalid JSONL in {bad[0]['file']}: {bad[0]['value'][:80]}")
 
 
+def _with_result(parsed: DataFrame) -> DataFrame:
+    """Each object's collection result: that of a record, or the object itself."""
+    rec = F.col("rec")
+    return T.evaluate_once(parsed, result=F.when(_wrapped(), _get(rec, "result", "variant")).otherwise(rec))
+
+
+def _wrapped() -> Column:
+    return F.coalesce(_get(F.col("rec"), "record_type") == "collection_result", F.lit(False))
+
+
 def coerce(parsed: DataFrame) -> DataFrame:
     """Collection records out of ledger records or bare results, with provenance from the record or the result's meta.
 
     Rows that are neither are left out; count them as :func:`skipped_records`.
     """
-    rec = F.col("rec")
-    wrapped = F.coalesce(_get(rec, "record_type") == "collection_result", F.lit(False))
-    staged = T.evaluate_once(objects(parsed), result=F.when(wrapped, _get(rec, "result", "variant")).otherwise(rec))
+    rec, wrapped = F.col("rec"), _wrapped()
+    staged = _with_result(objects(parsed))
     staged = staged.where(F.coalesce(is_result_lenient(F.col("result")), F.lit(False)))
     result = F.col("result")
 
@@ -167,10 +176,9 @@ def coerce(parsed: DataFrame) -> DataFrame:
 
 def skipped_records(parsed: DataFrame) -> DataFrame:
     """One row: non-blank, well-formed records that are no collection result."""
-    total = parsed.where(~F.col("state").isin("empty", "invalid_line")).agg(F.count(F.lit(1)).alias("n"))
-    good = coerce(parsed).agg(F.count(F.lit(1)).alias("n"))
-    both = total.select("n", F.lit(1).alias("sign")).unionByName(good.select("n", F.lit(-1).alias("sign")))
-    return both.agg(F.sum(F.col("n") * F.col("sign")).alias("skipped_records"))
+    records = _with_result(parsed.where(~F.col("state").isin("empty", "invalid_line")))
+    good = F.col("state").isin("ok", "invalid_record") & F.coalesce(is_result_lenient(F.col("result")), F.lit(False))
+    return records.agg(F.count_if(~good).alias("skipped_records"))
 
 
 def executed_queries(parsed: DataFrame) -> DataFrame:

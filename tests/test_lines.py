@@ -37,3 +37,11 @@ def test_no_exchange_carries_the_lines(spark, shards):
     plan = lines._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning" not in plan and "rangepartitioning" not in plan
     assert lines.select(F.max("line")).first()[0] == 700
+
+
+def test_skipped_records_are_counted_in_one_scan(spark):
+    values = ['{"record_type": "collection_result", "result": {"ok": true, "channel": "c", "operation": "o", "items": []}}', "[1]", "", "{", '{"a": 1}', "7"]
+    lines = spark.createDataFrame([(v, "f", 0, i) for i, v in enumerate(values)], "value string, file string, block_start long, seq long")
+    counted = ledger.skipped_records(ledger.parse(lines))
+    assert counted.collect()[0][0] == len(values) - 2 - ledger.coerce(ledger.parse(lines)).count()
+    assert counted._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
