@@ -119,13 +119,14 @@ HASHTAG_RE = rf"#(?<![{WORD}]#)[{WORD}]+"
 CASHTAG_RE = rf"\$(?<![{WORD}]\$)[A-Za-z][A-Za-z0-9_]*"
 NEAR_DUP_TOKEN_RE = r"[a-z0-9\x{131}][a-z0-9\x{131}_+-]*"
 
+# the boundary before a detail is tested once for all kinds; branches keep their order
+_DETAIL_STARTS = starts(f"{MONTHS}|{PERCENTILES}|{UNITS}|v")[:-2] + r"\p{Nd}])"
 CONCRETE_DETAIL_RE = (
-    rf"(?:(?=\p{{Nd}}){NOT_AFTER_WORD}\p{{Nd}}{{1,4}}(?:[.,]\p{{Nd}}+)?(?:%(?=[{WORD}])|{NOT_BEFORE_WORD})"
-    rf"|(?=2){NOT_AFTER_WORD}20\p{{Nd}}{{2}}[-/]\p{{Nd}}{{1,2}}[-/]\p{{Nd}}{{1,2}}{NOT_BEFORE_WORD}"
-    rf"|{starts(MONTHS)}{NOT_AFTER_WORD}(?:{MONTHS})[a-z]*{NOT_BEFORE_WORD}"
-    rf"|\$[0-9]"
-    rf"|(?=[v\p{{Nd}}]){NOT_AFTER_WORD}v?\p{{Nd}}+\.\p{{Nd}}+{NOT_BEFORE_WORD}"
-    rf"|{whole_words(PERCENTILES)}|{whole_words(UNITS)})"
+    rf"(?:\$[0-9]|{_DETAIL_STARTS}{NOT_AFTER_WORD}(?:\p{{Nd}}{{1,4}}(?:[.,]\p{{Nd}}+)?(?:%(?=[{WORD}])|{NOT_BEFORE_WORD})"
+    rf"|20\p{{Nd}}{{2}}[-/]\p{{Nd}}{{1,2}}[-/]\p{{Nd}}{{1,2}}{NOT_BEFORE_WORD}"
+    rf"|(?:{MONTHS})[a-z]*{NOT_BEFORE_WORD}"
+    rf"|v?\p{{Nd}}+\.\p{{Nd}}+{NOT_BEFORE_WORD}"
+    rf"|(?:{PERCENTILES}|{UNITS}){NOT_BEFORE_WORD}))"
 )
 FIRST_HAND_RE = (
     rf"(?d)(?:{whole_words(FIRST_PERSON)}.{{0,64}}{whole_words(FIRST_HAND_VERBS)}|(?=[om]){NOT_AFTER_WORD}{FIRST_HAND_OWNED}{NOT_BEFORE_WORD})"

@@ -147,3 +147,14 @@ def test_error_categories(spark):
         "abc",
         "not_authenticated",
     ]
+
+
+def test_concrete_details_test_the_boundary_once(spark):
+    from siftstone.functions import patterns
+    from siftstone.operators import score
+
+    assert patterns.CONCRETE_DETAIL_RE.count(patterns.NOT_AFTER_WORD) == 1
+    text = "v2.1 on 2026-04-10 37% less $5 p95 12ms 1.2.3 20 20% x5 5x marching may sec v1 a$9 2024/1/2 3,4 éfeb 7%a 5km g kg-"
+    want = ["v2.1", "2026", "04", "10", "37", "$5", "p95", "1.2", "3", "20", "marching", "may", "sec", "$9", "2024", "1", "2", "3,4", "7%", "g", "kg"]
+    found = spark.createDataFrame([(text,)], "t string").select(score.concrete_details(F.col("t"))).collect()[0][0]
+    assert found == len(set(want))
