@@ -14,7 +14,7 @@ from pyspark.sql.types import StringType
 
 from . import patterns as P
 
-# Scripts whose listed code points never change under NFKC and never combine with one another:
+# Scripts whose listed code points never change under NFKC and never combine with one another (the tests compare with it):
 # ASCII, precomposed Latin letters, basic Cyrillic, kana and the main CJK block.
 _NFKC_STABLE = (
     r"\x{0}-\x{7F}\x{C0}-\x{131}\x{134}-\x{13E}\x{141}-\x{148}\x{14A}-\x{17E}\x{400}-\x{45F}"
@@ -109,8 +109,8 @@ def plain_lower(col: Column) -> Column:
 
 
 @F.pandas_udf(StringType())
-def _nfkc(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
+def _normed(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: None if v is None else " ".join(unicodedata.normalize("NFKC", v).casefold().split()))
 
 
 @F.pandas_udf(StringType())
@@ -119,14 +119,11 @@ def _unescape(values: pd.Series) -> pd.Series:
 
 
 def norm_text(col: Column) -> Column:
-    """NFKC + case fold + squeeze.
+    """NFKC + case fold + squeeze, in one Arrow function.
 
-    Spark has no NFKC. Rows made of NFKC-stable characters stay in the JVM; the others alone carry their text to the
-    Arrow function (the rest are sent as null).
+    Spark has no NFKC, and finding the texts that need it, folding and squeezing by patterns cost several times a text's way to Python and back.
     """
-    unstable = (F.octet_length(col) > F.length(col)) & col.rlike(_outside(_NFKC_STABLE))
-    # what the function returns is null exactly where it got null, so the pattern is tried once per text
-    return squeeze(casefold(F.coalesce(_nfkc(F.when(unstable, col)), col)))
+    return _normed(col)
 
 
 def norm_literal(value: object) -> str:
