@@ -303,7 +303,8 @@ def user_posts(
     staged = posts.withColumn("__failed", failed.cast("array<string>"))
     staged = tf.evaluate(staged, noise.collected_parts(), rules)
     reasons = F.when(F.size("__failed") > 0, F.col("__failed")).otherwise(F.col("topic_fit.drop_reasons"))
-    staged = staged.withColumn("__reasons", reasons)
+    # filters on the reasons would else build each text's haystack a second time
+    staged = T.evaluate_once(staged, __reasons=reasons)
     drops = (
         staged.select("author", F.explode("__reasons").alias("reason"))
         .groupBy("author", "reason")

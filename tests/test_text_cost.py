@@ -12,7 +12,7 @@ from siftstone.operators.items import build_items
 
 
 def plan(df):
-    return df._jdf.queryExecution().executedPlan().toString()
+    return df._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_rule_sets_meet_texts_normalised_without_patterns(spark):
@@ -29,3 +29,18 @@ def test_rule_sets_meet_texts_normalised_without_patterns(spark):
     assert all(rows[n, "a"] == (n < len(spaces)) and rows[n, "b"] == (n >= len(spaces)) for n in range(len(texts)))
     assert "RLIKE" not in plan(out) and "regexp_replace" not in plan(out).lower()
     assert plan(out).count("ArrowEvalPython") == 1
+
+
+def _posts(spark):
+    rows = [(1, "u", "Shop here, everyone", 50.0), (2, "u", "nothing to see, move on", 50.0), (3, "u", "few likes shop", 3.0), (4, "v", "a plain sentence here", 40.0)]
+    df = spark.createDataFrame(rows, "ord long, author string, text string, likes double")
+    return build_items(df.withColumn("engagement", F.create_map(F.lit("likes"), "likes")).withColumn("timeline_item_kind", F.lit("original")))
+
+
+def test_timelines_build_a_haystack_once(spark):
+    """Before, the filter on the reasons built the haystack of each text, and the reasons did so again."""
+    rules = tf.TopicRules.of({"excluded_terms": ["shop"]})
+    chosen, drops = search.user_posts(_posts(spark), min_likes=30, rules=rules, limit=5)
+    assert sorted(tuple(r) for r in drops.collect()) == [("u", "min_likes", 1), ("u", "topic_fit_excluded_term", 1)]
+    assert sorted(r["ord"] for r in chosen.kept.collect()) == [2, 4]
+    assert plan(drops).count("ArrowEvalPython") == 1 and plan(chosen.kept.select("author", "ord")).count("ArrowEvalPython") == 1
