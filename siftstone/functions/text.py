@@ -105,7 +105,10 @@ def plain_lower(col: Column) -> Column:
 
     The four letters below equal an ASCII letter in a case-insensitive Unicode match although lowering keeps them apart.
     """
-    return F.lower(F.translate(col, "\u0130\u0131\u017f\u212a", "iisk"))
+    # a replacement looks for its bytes; translate() would ask a table for each character of a text
+    for letter, plain in zip("\u0130\u0131\u017f\u212a", "iisk", strict=True):
+        col = F.replace(col, F.lit(letter), F.lit(plain))
+    return F.lower(col)
 
 
 @F.pandas_udf(StringType())

@@ -44,3 +44,12 @@ def test_timelines_build_a_haystack_once(spark):
     assert sorted(tuple(r) for r in drops.collect()) == [("u", "min_likes", 1), ("u", "topic_fit_excluded_term", 1)]
     assert sorted(r["ord"] for r in chosen.kept.collect()) == [2, 4]
     assert plan(drops).count("ArrowEvalPython") == 1 and plan(chosen.kept.select("author", "ord")).count("ArrowEvalPython") == 1
+
+
+def test_letters_that_equal_ascii_ones_are_replaced_without_a_table_per_character(spark):
+    """Before, translate() looked up every character of a text."""
+    every = spark.range(1, 0x3400).where("id < 55296").select(F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')").alias("c"))
+    every = every.select(F.concat(F.lit("Aİ"), "c", F.lit("ıſKz")).alias("c"))
+    want = F.lower(F.translate("c", "\u0130\u0131\u017f\u212a", "iisk"))
+    assert every.where(T.plain_lower(F.col("c")) != want).isEmpty()
+    assert "translate" not in plan(every.select(T.plain_lower(F.col("c"))))
