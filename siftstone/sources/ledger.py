@@ -90,15 +90,18 @@ def _kind(value: Column, path: str) -> Column:
     return F.schema_of_variant(_get(value, path, "variant"))
 
 
-def is_result(value: Column) -> Column:
-    """Strict envelope check used by the ledger reports: six typed keys."""
+def is_result(value: Column, below: str = "") -> Column:
+    """Strict envelope check used by the ledger reports: six typed keys.
+
+    ``below`` is the path of the envelope in ``value``, as ``result.``: taking the envelope out first would copy all of it for each key.
+    """
     return (
-        F.coalesce(_kind(value, "channel") == "STRING", F.lit(False))
-        & F.coalesce(_kind(value, "operation") == "STRING", F.lit(False))
-        & F.coalesce(_kind(value, "ok") == "BOOLEAN", F.lit(False))
-        & _get(value, "items", "array<variant>").isNotNull()
-        & _get(value, "meta", "map<string,variant>").isNotNull()
-        & _get(value, "error", "variant").isNotNull()
+        F.coalesce(_kind(value, f"{below}channel") == "STRING", F.lit(False))
+        & F.coalesce(_kind(value, f"{below}operation") == "STRING", F.lit(False))
+        & F.coalesce(_kind(value, f"{below}ok") == "BOOLEAN", F.lit(False))
+        & _get(value, f"{below}items", "array<variant>").isNotNull()
+        & _get(value, f"{below}meta", "map<string,variant>").isNotNull()
+        & _get(value, f"{below}error", "variant").isNotNull()
     )
 
 
@@ -115,7 +118,7 @@ def parse(lines: DataFrame) -> DataFrame:
     blank = F.length(T.strip(F.col("value"))) == 0
     parsed = T.evaluate_once(lines, rec=F.try_parse_json(F.when(~blank, F.col("value"))))
     an_object = F.startswith(F.schema_of_variant("rec"), F.lit("OBJECT"))
-    valid = (_get(F.col("rec"), "record_type") == "collection_result") & is_result(_get(F.col("rec"), "result", "variant"))
+    valid = (_get(F.col("rec"), "record_type") == "collection_result") & is_result(F.col("rec"), "result.")
     state = (
         F.when(blank, F.lit("empty"))
         .when(F.col("rec").isNull(), F.lit("invalid_line"))
@@ -363,16 +366,15 @@ def merge(lines: DataFrame, path: str, *, single_file: bool = False) -> DataFram
 def canonical_items(parsed: DataFrame) -> DataFrame:
     """One row per item with its record's provenance."""
     rec = F.col("rec")
-    result = _get(rec, "result", "variant")
     rows = objects(parsed).select(
         F.lit(SCHEMA_VERSION).alias("schema_version"),
         F.lit("canonical_item").alias("record_type"),
         _get(rec, "run_id").alias("run_id"),
-        F.coalesce(_get(rec, "channel"), _get(result, "channel")).alias("channel"),
-        F.coalesce(_get(rec, "operation"), _get(result, "operation")).alias("operation"),
+        F.coalesce(_get(rec, "channel"), _get(rec, "result.channel")).alias("channel"),
+        F.coalesce(_get(rec, "operation"), _get(rec, "result.operation")).alias("operation"),
         _get(rec, "input").alias("input"),
         *[_get(rec, n).alias(n) for n in _META],
-        F.explode(_get(result, "items", "array<variant>")).alias("item"),
+        F.explode(_get(rec, "result.items", "array<variant>")).alias("item"),
     )
     return rows.where(F.startswith(F.schema_of_variant("item"), F.lit("OBJECT")))
 
