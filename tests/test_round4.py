@@ -68,3 +68,29 @@ def test_downrank_carries_wanted_columns(spark):
     some = neardup.downrank(df, "id", "ord", columns=("ord",))
     assert some.columns == ["ord", "quality_score", "quality_reasons"]
     assert sorted(map(str, full.collect())) == sorted(map(str, some.collect()))
+
+
+def test_wanted_rows_are_chosen_below_their_expressions(spark, capsys):
+    from siftstone.plans.skew import fetch_rows
+
+    rows = spark.range(50).select(F.col("id").alias("ord"), F.nullif(F.concat(F.lit("t"), F.col("id")), F.lit("t7")).alias("x"))
+    rows = rows.withColumn("y", F.coalesce("x", F.lit("none")))
+    found = spark.createDataFrame([("a", 7), ("b", 9), ("c", 9), ("d", None)], "k string, at long")
+    out = fetch_rows(found, rows, "at")
+    assert {(r["k"], r["y"]) for r in out.collect()} == {("a", "none"), ("b", "t9"), ("c", "t9")}
+    out.explain()
+    plan = [line for line in capsys.readouterr().out.splitlines() if "Range (0, 50" in line or "LeftSemi" in line or "AS x#" in line or "AS y#" in line]
+    made = max(i for i, line in enumerate(plan) if "AS y#" in line)
+    assert any("LeftSemi" in line for line in plan[made + 1 :])
+
+
+def test_plan_moves_points_not_items(spark):
+    from siftstone.plans.candidates import plan_candidates
+
+    rows = [(i, f"d{i % 20}", f"post {i % 20} alpha bravo carol delta early fancy", f"a{i % 3}", "original") for i in range(60)]
+    items = spark.createDataFrame(rows, "ord long, id string, text string, author string, timeline_item_kind string").withColumn("source", F.lit("s"))
+    plan = plan_candidates(items, by="id", limit=5, sort_by="quality_score", drop_noise=True)
+    assert plan.points.columns == ["candidate_key", "first_ord", "quality_score", "quality_reasons"]
+    top = [(r["quality_score"], r["first_ord"], r["text"]) for r in plan.returned.collect()]
+    every = sorted((-r["quality_score"], r["first_ord"], r["text"]) for r in plan.scored.collect())
+    assert len(every) == 20 and [(-s, o, t) for s, o, t in top] == every[:5]
